@@ -63,7 +63,7 @@ def newest_per_pattern(files: DataFrame, patterns: Mapping[str, str], path: str
     ``files`` is a listing: paths and times, never contents.
     """
     kinds = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in patterns.items()])
-    matched = files.select(path, modified, F.inline(kinds)).where(F.col(path).rlike(F.col("pattern")))
+    matched = files.select(path, modified, F.inline(kinds)).where(F.regexp_like(F.col(path), F.col("pattern")))
     order = W.partitionBy("name").orderBy(F.col(modified).desc(), F.col(path))
     return matched.withColumn("__place", F.row_number().over(order)).where("__place = 1").select("name", path, modified)
 

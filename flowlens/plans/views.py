@@ -70,7 +70,9 @@ def packets(spark: SparkSession, folder: str) -> DataFrame:
     tcp = F.col("event_type").isin("click", "view", "purchase")
     udp = F.col("event_type") == "signup"
     return e.select(
-        (F.unix_micros("ts") / F.lit(1000000.0)).alias("t"),
+        # The stored time has no zone; seconds are counted without bringing the session's zone in.
+        (F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("ts"))
+         / F.lit(1000000.0)).alias("t"),
         F.when(six, None).when(tcp, "6").when(udp, "17").otherwise("1").alias("ip_proto"),
         F.when(~six, None).when(tcp, "6").when(udp, "17").otherwise("58").alias("v6_nxt"),
         F.when(~six, F.concat(F.lit("10.0.0."), source)).alias("ip_src"),
