@@ -116,8 +116,7 @@ def phase_inventory(files: DataFrame, names: Sequence[str] = PHASE_NAMES, path:
 
 def scan_logs(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """Whole log files as ``path, modified, value``."""
-    return (spark.read.option("wholetext", True).option("pathGlobFilter", pattern)
-            .option("recursiveFileLookup", True).text(path)
+    return (spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
             .select(F.col("_metadata.file_path").alias("path"),
                     F.col("_metadata.file_modification_time").alias("modified"), "value"))
 
