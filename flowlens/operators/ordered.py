@@ -23,7 +23,7 @@ SEARCH_BITS = 18
 
 def splitters(values: DataFrame, keys: Sequence[str], value: str,
               rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> DataFrame:
-    """Sorted bucket borders per group: ``keys + __borders``.
+    """Sorted bucket borders per group: ``keys + (__borders, __steps)``.
 
     ``values`` are the raw rows: counting them and hashing them are plain scans, and only sampled values
     are shuffled. A value is sampled when its hash is divisible by a stride set from the total row count,
@@ -37,28 +37,33 @@ def splitters(values: DataFrame, keys: Sequence[str], value: str,
                .groupBy(*keys, value).agg(F.lit(1).alias("__one")))
     borders = (sampled.groupBy(*keys)
                .agg(F.sort_array(F.collect_list(value)).alias("__sample"))
-               .select(*keys, F.filter("__sample", lambda _, i: i % OVERSAMPLE == OVERSAMPLE - 1)
-                       .alias("__borders")))
+               .select(*keys, F.expr(f"filter(__sample, (_, i) -> i % {OVERSAMPLE} = {OVERSAMPLE - 1})").alias("__borders"))
+               .select(*keys, "__borders", search_steps("__borders").alias("__steps")))
     return borders.where(F.size("__borders") > 0) if keys else borders
 
 
-def position(value: Column, borders: Column) -> Column:
-    """How many of the sorted ``borders`` are at or below ``value``, by binary search."""
-    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(SEARCH_BITS))])
-    size = F.size(borders)
+def search_steps(borders: str) -> Column:
+    """The powers of two up to the number of borders, largest first: the strides of a binary search."""
+    powers = ", ".join(str(1 << bit) for bit in reversed(range(SEARCH_BITS)))
+    return F.expr(f"filter(array({powers}), step -> step <= size({borders}))")
 
-    def advance(found: Column, step: Column) -> Column:
-        tried = found + step
-        return F.when((tried <= size) & (F.get(borders, F.least(tried, size) - 1) <= value), tried).otherwise(found)
 
-    return F.when(F.coalesce(size, F.lit(0)) <= 0, F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), advance))
+def position(value: str, borders: str = "__borders", steps: str = "__steps") -> Column:
+    """How many of the sorted ``borders`` are at or below ``value``, by binary search; all are column names.
+
+    ``steps`` are the borders' own ``search_steps``, worked out once per group and not per row. The result
+    is 0 where there are no borders.
+    """
+    return F.expr(f"coalesce(aggregate({steps}, 0, (found, step) -> "
+                  f"if(get({borders}, found + step - 1) <= {value}, found + step, found)), 0)")
 
 
 def bucketed(values: DataFrame, keys: Sequence[str], value: str, borders: DataFrame) -> DataFrame:
     """``values`` with a ``__bucket`` number that grows with ``value``."""
     table = F.broadcast(borders) if keys else borders
     located = attach(values, table, keys)
-    return located.withColumn("__bucket", position(F.col(value), F.col("__borders"))).drop("__borders")
+    return (located.withColumn("__bucket", position(value))
+            .drop("__borders", "__steps"))
 
 
 def running(distinct: DataFrame, source: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str],
@@ -182,7 +187,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, parts: int,
     else:
         plan = attach(borders, lists, keys)
     chosen = (attach(rows, plan, keys)
-              .withColumn("__bucket", position(F.col(value), F.col("__borders")))
+              .withColumn("__bucket", position(value))
               .where(F.col("__borders").isNull() | F.array_contains("__wanted", F.col("__bucket"))))
     distinct = chosen.groupBy(*keys, "__bucket", value).agg(F.count(F.lit(1)).alias("__count"))
     heads = wanted.select(*keys, "__bucket", F.lit(0).alias("__row"), F.col("__start").alias("__count"), "__n")

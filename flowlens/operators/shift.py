@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from flowlens.functions.relational import finite, join_groups, ratio, unpivot
 from flowlens.operators.merge import top_values
-from flowlens.operators.ordered import exact_quantiles, position, running
+from flowlens.operators.ordered import exact_quantiles, position, running, search_steps
 from flowlens.schemas import FLOW_NUMERIC, LABEL_COLUMNS
 
 
@@ -46,10 +46,11 @@ def psi(values: DataFrame, bins: int = 10, eps: float = 1e-6, min_n: int = 50) -
     """
     cuts = exact_quantiles(values.where("is_ref = 1"), ["feature"], "value", bins)
     # One row per feature, at most bins + 1 numbers each: the schema bounds it, so it may be broadcast.
-    edges = F.broadcast(cuts.groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias("edges")))
+    edges = cuts.groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias("edges"))
+    edges = F.broadcast(edges.withColumn("steps", search_steps("edges")))
     placed = join_groups(values, edges, ["feature"], "left")
     within = (F.col("value") >= F.element_at("edges", 1)) & (F.col("value") <= F.element_at("edges", -1))
-    at = F.least(position(F.col("value"), F.col("edges")), F.size("edges") - 1)
+    at = F.least(position("value", "edges", "steps"), F.size("edges") - 1)
     binned = placed.withColumn("bin", F.when(F.col("edges").isNotNull() & within, at))
 
     def cell(side: int, b: int) -> Column:

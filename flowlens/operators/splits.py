@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowlens.functions.hashing import coefficients, draw, hash_bucket, row_hash, uniform
+from flowlens.functions.hashing import PRIME, coefficients, draw, hash_bucket, row_hash, uniform
 from flowlens.functions.relational import attach, fitted, join_groups
 
 
@@ -122,8 +122,12 @@ def calibration_samples(df: DataFrame, k: int, reps: int, seed: int = 7, key: st
     spread = hashed.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     drawn = spread.withColumn("__draw", draw([F.col("__c")[i] for i in range(4)], F.col("rep"))).drop("__c")
     placed = drawn.select("rep", F.col("__draw"), F.col(key).alias("__key"))
-    cuts = rank_cuts(placed, ["rep"], ["__draw", "__key"], F.shiftright(F.col("__draw"), 15),
-                     [F.least(F.lit(k), F.col("n"))])
+    # Draws are even, so a bucket this wide holds about k rows. The last bucket takes all the rest and is
+    # ordered only if the k-th row should lie in it.
+    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    width = F.greatest(F.lit(float(PRIME)) * F.lit(float(k)) / F.greatest(rows, F.lit(1)), F.lit(1.0))
+    bucket = F.least(F.floor(F.col("__draw") / width), F.lit(64)).cast("int")
+    cuts = rank_cuts(placed, ["rep"], ["__draw", "__key"], bucket, [F.least(F.lit(k), F.col("n"))])
     located = attach(drawn, fitted(cuts), ["rep"])
     here = F.struct(F.col("__draw"), F.col(key).alias("__key"))
     return located.where(here <= F.col("cut_0")).drop("__draw", "cut_0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.relational import attach, ratio
 from flowlens.operators import metrics as M
-from flowlens.operators.ordered import position
+from flowlens.operators.ordered import position, search_steps
 from flowlens.operators.splits import calibration_samples, calibration_split
 from flowlens.session import saved
 
@@ -133,15 +133,15 @@ def counts_at(df: DataFrame, thresholds: DataFrame, ident: str, score: str = "y_
     ``thresholds`` has (``ident``, ``threshold``) and is small by construction (repetitions, budgets). Rows
     are counted between neighbouring thresholds map-side; sums over those few counts give every answer.
     """
-    listed = thresholds.agg(F.sort_array(F.collect_set("threshold")).alias("t"))
-    packed = listed.scalar()
-    rows = (df.select(score, label).withColumn("__t", packed)
-            .withColumn("__at", position(F.col(score), F.col("__t"))))
+    listed = thresholds.agg(F.sort_array(F.collect_set("threshold")).alias("__t"))
+    listed = listed.withColumn("__steps", search_steps("__t"))
+    rows = (attach(df.select(score, label), listed, [])
+            .withColumn("__at", position(score, "__t")))
     between = rows.groupBy("__at").agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
     table = between.agg(F.collect_list(F.struct("__at", "pos", "neg")).alias("c")).scalar()
-    located = (thresholds.withColumn("__t", packed).withColumn("__c", table)
+    located = (attach(thresholds, listed, []).withColumn("__c", table)
                .withColumn("__need", F.array_position("__t", F.col("threshold"))))
 
     def total(field: str, at_or_above: bool) -> Column:
@@ -201,10 +201,11 @@ def single_shot(df: DataFrame, fraction: float = 0.2, seed: int = 7, budgets: Se
                 key: str = "row_id", score: str = "y_score", label: str = "y_true") -> tuple[DataFrame, DataFrame]:
     """Fit orientation and budget thresholds on a calibration part, evaluate once on the rest.
 
-    Returns the fitted row and the test rows with turned scores, ``y_pred`` at 0.5 and one
+    The split is written once, so that the curves after it are plain scans. Returns the fitted row and the
+    test rows (``key``, ``label``) with turned scores, ``y_pred`` at 0.5 and one
     ``y_pred_<budget>`` per budget.
     """
-    parts = calibration_split(df, fraction, seed, key)
+    parts = saved(calibration_split(df.select(key, score, label), fraction, seed, key))
     calib, test = parts.where("split = 'calib'"), parts.where("split = 'test'").drop("split")
     facing = orientation(calib, score=score, label=label)
     curve = M.score_curve(oriented(calib, facing, score=score), score=score, label=label)

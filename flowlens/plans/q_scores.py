@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowlens.functions.cleaning import sigmoid
+from flowlens.functions.relational import attach
 from flowlens.operators import bootstrap as B
 from flowlens.operators import cleaning, labels
 from flowlens.operators import metrics as M
@@ -13,6 +15,7 @@ from flowlens.operators import thresholds as TH
 from flowlens.plans import views as V
 from flowlens.plans.registry import query, rounded
 from flowlens.plans.views import SQL_VIEWS
+from flowlens.session import saved
 
 GROUP_CURVE = f"group_curve AS ({SQL_VIEWS['group_curve']})"
 AP = "coalesce(sum(pos * precision) / nullif(max(n_pos), 0), 0)"
@@ -255,6 +258,12 @@ BUDGET_FIT = f"""{BUDGET_SPLIT}, val AS (SELECT * FROM parts WHERE split = 'val'
 test AS (SELECT * FROM parts WHERE split = 'test'), {curve_sql('val_curve', 'val')}"""
 
 
+def budget_parts(spark, d):
+    """The split scores, written once: every curve and count after it is a plain scan."""
+    rows = V.scored_fine(spark, d).select("row_id", "y_true", "y_score")
+    return saved(SP.train_val_test(rows, 0.30, 0.25, ["y_true"]))
+
+
 @query("th_7_curve_budget_on_test", f""", {BUDGET_FIT},
 fit AS (SELECT b AS budget, arg_max(threshold, tpr * 1e6 + threshold) AS threshold FROM val_curve,
   (VALUES (0.01e0), (0.05e0)) t(b) WHERE fpr <= b AND tpr > 0 GROUP BY b)
@@ -263,7 +272,7 @@ SELECT budget, round(threshold, 9) AS threshold, CAST(count(*) FILTER (WHERE y_s
   round(count(*) FILTER (WHERE y_score >= threshold AND y_true = 1) / count(*) FILTER (WHERE y_true = 1)::DOUBLE, 6) AS tpr
 FROM test, fit GROUP BY budget, threshold""", "scored_fine")
 def _(spark, d):
-    parts = SP.train_val_test(V.scored_fine(spark, d), 0.30, 0.25, ["y_true"])
+    parts = budget_parts(spark, d)
     fit = TH.curve_budget(M.score_curve(parts.where("split = 'val'")), [0.01, 0.05])
     return _realised(parts.where("split = 'test'"), fit)
 
@@ -367,7 +376,6 @@ def _(spark, d):
         *[F.avg(F.when(side, F.col(f"y_pred_fpr{b}"))).alias(f"{name}{b}")
           for b in ("01", "05") for name, side in (("tpr", pos), ("fpr", neg))])
     curve = M.summary(M.score_curve(test)).select("pr_auc", F.col("fpr_at_tpr95").alias("fpr95"))
-    from flowlens.functions.relational import attach
     return rounded(attach(attach(got, curve, []), fit.select("flip"), []))
 
 
@@ -378,7 +386,7 @@ one AS (SELECT max(threshold) FILTER (WHERE budget = 0.01e0) AS t01, max(thresho
 SELECT row_id, y_true, round(y_score, 9) AS y_score, coalesce((y_score >= t01)::INT, 0) AS y_pred_fpr01,
   coalesce((y_score >= t05)::INT, 0) AS y_pred_fpr05 FROM test, one""", "scored_fine")
 def _(spark, d):
-    parts = SP.train_val_test(V.scored_fine(spark, d), 0.30, 0.25, ["y_true"])
+    parts = budget_parts(spark, d)
     fit = TH.first_within_budget(M.score_curve(parts.where("split = 'val'")), [0.01, 0.05])
     rows = parts.where("split = 'test'").select("row_id", "y_true", "y_score")
     for name, budget in (("y_pred_fpr01", 0.01), ("y_pred_fpr05", 0.05)):
@@ -399,7 +407,7 @@ SELECT name, round(t, 6) AS threshold, round((tp + tn) / (tp + tn + fp + fn)::DO
   round((SELECT {AP} FROM test_curve), 6) AS pr_auc,
   round((SELECT arg_max(fpr, threshold) FROM test_curve WHERE tpr >= 0.95e0), 6) AS fpr95 FROM c""", "scored_fine")
 def _(spark, d):
-    parts = SP.train_val_test(V.scored_fine(spark, d), 0.30, 0.25, ["y_true"])
+    parts = budget_parts(spark, d)
     limits = TH.kth_negative_thresholds(M.score_curve(parts.where("split = 'val'")), [0.01, 0.05])
     named = limits.select(F.when(F.col("budget") == 0.01, "valFPR01").otherwise("valFPR05").alias("name"), "threshold")
     default = spark.createDataFrame([("default0.5", 0.5)], "name string, threshold double")
@@ -557,7 +565,6 @@ def _(spark, d):
 
 @query("ml_9_sigmoid", """SELECT row_id, round(1.0e0 / (1.0e0 + exp(-((y_score - 0.5e0) * 8.0e0))), 6) AS y_score FROM scored""", "scored")
 def _(spark, d):
-    from flowlens.functions.cleaning import sigmoid
     return rounded(V.scored(spark, d).select("row_id", sigmoid((F.col("y_score") - 0.5) * 8.0).alias("y_score")))
 
 
