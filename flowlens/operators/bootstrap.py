@@ -24,7 +24,8 @@ from flowlens.operators.ordered import ROWS_PER_BUCKET, bucketed, splitters
 # Cells up to this size are drawn by inverting the Poisson distribution, larger ones by its normal
 # expansion to second order, whose error falls with the cell size.
 EXACT_UP_TO = 16
-BLOCK = 4096
+# Weights held in a task at a time.
+BLOCK = 1_000_000
 
 
 def poisson_steps(mean: int) -> list[float]:
@@ -82,11 +83,12 @@ def cell_totals(cells: DataFrame, keys: Sequence[str], count: str, reps: int) ->
     keys = list(keys)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*keys).schema.fields)
     lead = f"{fields}, " if keys else ""
+    step = max(1, BLOCK // reps)
 
     def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for start in range(0, len(pdf), BLOCK):
-                block = pdf.iloc[start:start + BLOCK]
+            for start in range(0, len(pdf), step):
+                block = pdf.iloc[start:start + step]
                 weights = poisson_weights(_coefs(block), block[count].to_numpy(), reps)
                 groups = block.groupby(keys, dropna=False, sort=False).indices if keys else {(): np.arange(len(block))}
                 for rows in groups.values():
@@ -157,6 +159,8 @@ def score_bootstrap(df: DataFrame, groups: Sequence[str] = (), reps: int = 1000,
     left = drawn.withColumn("__group", label_of).select("__group", "__bucket", "threshold", "t", "c", "a0", "a1", "a2", "a3")
     right = starts.withColumn("__group", label_of).select("__group", "__bucket", "rep", "pos_above", "neg_above", "n_pos")
 
+    step = max(1, BLOCK // reps)
+
     def curve_part(cell_rows: pd.DataFrame, start_rows: pd.DataFrame) -> pd.DataFrame:
         start_rows = start_rows.sort_values("rep")
         tp, fp = start_rows["pos_above"].to_numpy(), start_rows["neg_above"].to_numpy()
@@ -171,7 +175,7 @@ def score_bootstrap(df: DataFrame, groups: Sequence[str] = (), reps: int = 1000,
         ends_at = np.r_[starts_at[1:], len(values)]
         at = 0
         while at < len(starts_at):
-            stop = max(at + 1, np.searchsorted(ends_at, starts_at[at] + BLOCK, side="right"))
+            stop = max(at + 1, np.searchsorted(ends_at, starts_at[at] + step, side="right"))
             rows_here = slice(starts_at[at], ends_at[stop - 1])
             weights = poisson_weights(coefs[rows_here], counts[rows_here], reps)
             offsets = starts_at[at:stop] - starts_at[at]

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.functions.relational import finite, fitted, unpivot
-from flowlens.operators.ordered import exact_quantiles
+from flowlens.operators.ordered import exact_quantiles, running
 from flowlens.schemas import FEATURE_SETS
 
 
@@ -83,14 +82,16 @@ def scale(df: DataFrame, scales: DataFrame, columns: Sequence[str]) -> DataFrame
 def fit_codes(train: DataFrame, columns: Sequence[str], missing: str | None = "NA") -> DataFrame:
     """Codes 0, 1, 2… in value order per column: ``feature, value, code``.
 
-    Only the distinct values are numbered. With ``missing`` a null is that text and gets a code.
+    Only the distinct values are numbered, in ranges of the order, so a column of a billion addresses is
+    not sorted in one task. With ``missing`` a null is that text and gets a code.
     """
     values = unpivot(train, columns, "string")
     if missing is not None:
         values = values.withColumn("value", F.coalesce("value", F.lit(missing)))
-    distinct = values.where("value is not null").groupBy("feature", "value").agg(F.lit(1).alias("one"))
-    order = W.partitionBy("feature").orderBy("value")
-    return distinct.select("feature", "value", (F.row_number().over(order) - 1).alias("code"))
+    values = values.where("value is not null")
+    distinct = values.groupBy("feature", "value").agg(F.lit(1).cast("bigint").alias("one"))
+    numbered = running(distinct, values, ["feature"], "value", ["one"], descending=False)
+    return numbered.select("feature", "value", (F.col("one_cum") - 1).alias("code"))
 
 
 def encode(df: DataFrame, codes: DataFrame, columns: Sequence[str], missing: str | None = "NA",

@@ -61,26 +61,28 @@ def window_ablation(packets: DataFrame, widths: Sequence[float]) -> DataFrame:
     return _flow_columns(flows, "width", "win", state="OK")
 
 
-def conversations(packets: DataFrame, key: str) -> DataFrame:
+def conversations(packets: DataFrame) -> DataFrame:
     """Both directions of a conversation in one flow; the source is who sent its first packet.
 
-    ``key`` orders packets of equal time. Every measure is a partial aggregate, so one conversation with a
-    third of all packets is reduced before the shuffle.
+    If both sides start at the same time, the lower address counts as the source. Every measure is a plain
+    number that is combined before the shuffle, so one conversation with a third of all packets costs one
+    row per task.
     """
     ready = usable_packets(packet_endpoints(transport_packets(packets)))
     ends = ready.select(
         F.col("transport").alias("proto"),
         F.struct(F.col("saddr").alias("addr"), F.coalesce("sport", F.lit("")).alias("port")).alias("src"),
         F.struct(F.col("daddr").alias("addr"), F.coalesce("dport", F.lit("")).alias("port")).alias("dst"),
-        "t", "flen", F.col(key).alias("__key"))
+        "t", "flen")
     sided = ends.withColumns({"low": F.least("src", "dst"), "high": F.greatest("src", "dst")})
     up = F.col("src") == F.col("low")
     sums = sided.groupBy("proto", "low", "high").agg(
-        F.min(F.struct("t", "__key", up.alias("up"))).alias("first"), (F.max("t") - F.min("t")).alias("dur"),
+        F.min(F.when(up, F.col("t"))).alias("up_start"), F.min(F.when(~up, F.col("t"))).alias("down_start"),
+        (F.max("t") - F.min("t")).alias("dur"),
         F.sum(F.when(up, 1).otherwise(0)).alias("up_packets"), F.sum(F.when(up, 0).otherwise(1)).alias("down_packets"),
         F.sum(F.when(up, F.col("flen")).otherwise(0)).alias("up_bytes"),
         F.sum(F.when(up, 0).otherwise(F.col("flen"))).alias("down_bytes"))
-    begun = F.col("first.up")
+    begun = F.col("down_start").isNull() | F.coalesce(F.col("up_start") <= F.col("down_start"), F.lit(False))
 
     def side(a: str, b: str) -> Column:
         return F.when(begun, F.col(a)).otherwise(F.col(b))

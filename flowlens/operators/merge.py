@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import cleaning as C
 from flowlens.functions.hashing import row_hash
-from flowlens.functions.relational import require_columns
+from flowlens.functions.relational import fitted, require_columns
 from flowlens.operators.labels import label_from_type, phase_label
 from flowlens.schemas import FLOW_NUMERIC
 
@@ -37,7 +37,7 @@ def merge_phases(phases: DataFrame) -> DataFrame:
 
 def paired_phases(benign: DataFrame, attack: DataFrame, rep: str = "rep") -> DataFrame:
     """Benign and attack rows of repetitions present on both sides."""
-    both = benign.select(rep).distinct().join(attack.select(rep).distinct(), rep)
+    both = fitted(benign.select(rep).distinct().join(attack.select(rep).distinct(), rep))
     return union_by_name([phase_label(benign.join(both, rep, "left_semi"), 0, "benign"),
                           phase_label(attack.join(both, rep, "left_semi"), 1, "attack")])
 
@@ -76,13 +76,11 @@ def top_values(df: DataFrame, column: str, k: int = 10, groups: Sequence[str] =
 def day_statistics(df: DataFrame, top: int = 15, day: str = "day", label: str = "Label") -> DataFrame:
     """Rows, attack share and the most frequent labels of every day, from one aggregation."""
     counts = df.groupBy(day, F.trim(F.col(label)).alias("label_name")).agg(F.count(F.lit(1)).alias("n"))
-    whole = W.partitionBy(day)
-    order = whole.orderBy(F.col("n").desc(), F.col("label_name"))
     attacks = F.when(F.upper("label_name") != "BENIGN", F.col("n")).otherwise(0)
-    return (counts.select(day, "label_name", "n", F.sum("n").over(whole).alias("day_n"),
-                          (F.sum(attacks).over(whole) / F.sum("n").over(whole)).alias("attack_ratio"),
-                          F.row_number().over(order).alias("place"))
-            .where(F.col("place") <= top))
+    totals = counts.groupBy(day).agg(F.sum("n").alias("day_n"), (F.sum(attacks) / F.sum("n")).alias("attack_ratio"))
+    order = W.partitionBy(day).orderBy(F.col("n").desc(), F.col("label_name"))
+    leading = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    return leading.join(totals, day).select(day, "label_name", "n", "day_n", "attack_ratio", "place")
 
 
 def crosstab(df: DataFrame, rows: str, columns: str) -> DataFrame:

@@ -58,10 +58,20 @@ def score_curve(df: DataFrame, groups: Sequence[str] = (), score: str = "y_score
 def pr_curve(df: DataFrame, groups: Sequence[str] = (), **columns: str) -> DataFrame:
     """Precision, recall and threshold per distinct score, and the closing point (1, 0) without threshold."""
     curve = score_curve(df, groups, **columns)
-    points = curve.select(*groups, "threshold", "precision", F.col("tpr").alias("recall"))
-    closing = (curve.groupBy(*groups).agg(F.lit(None).cast("double").alias("threshold"),
-                                          F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
-    return points.unionByName(closing)
+    point = F.struct("threshold", "precision", F.col("tpr").alias("recall"))
+    closing = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
+                       F.lit(0.0).alias("recall"))
+    return curve.select(*groups, F.inline(F.when(is_last(), F.array(point, closing)).otherwise(F.array(point))))
+
+
+def is_first() -> Column:
+    """True on the highest score of a curve."""
+    return (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+
+
+def is_last() -> Column:
+    """True on the lowest score of a curve."""
+    return (F.col("tp") == F.col("n_pos")) & (F.col("fp") == F.col("n_neg"))
 
 
 def roc_curve(df: DataFrame, groups: Sequence[str] = (), drop_intermediate: bool = False,
@@ -72,15 +82,11 @@ def roc_curve(df: DataFrame, groups: Sequence[str] = (), drop_intermediate: bool
     """
     curve = score_curve(df, groups, look_ahead=drop_intermediate, **columns)
     if drop_intermediate:
-        last = F.col("pos_next").isNull()
-        first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
         turns = (F.col("pos_next") != F.col("pos")) | (F.col("neg_next") != F.col("neg"))
-        points = curve.where(first | last | turns)
-    else:
-        points = curve
-    opening = curve.groupBy(*groups).agg(F.lit(INF).alias("threshold"), F.lit(0.0).alias("fpr"),
-                                         F.lit(0.0).alias("tpr"))
-    return points.select(*groups, "threshold", "fpr", "tpr").unionByName(opening)
+        curve = curve.where(is_first() | is_last() | turns)
+    point = F.struct("threshold", "fpr", "tpr")
+    opening = F.struct(F.lit(INF).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return curve.select(*groups, F.inline(F.when(is_first(), F.array(opening, point)).otherwise(F.array(point))))
 
 
 def average_precision() -> Column:
@@ -96,18 +102,26 @@ def roc_auc() -> Column:
 
 
 def fpr_point(target: float) -> Column:
-    """Struct (threshold, fpr) of the first curve point whose TPR reaches ``target``, else null."""
-    return F.max(F.when(F.col("tpr") >= F.lit(float(target)), F.struct("threshold", "fpr")))
+    """Struct (threshold, fpr, tpr) of the first curve point whose TPR reaches ``target``, null if none does.
+
+    FPR and TPR grow along the curve, so each part is a plain minimum or maximum; plain numbers keep the
+    aggregation hash-based.
+    """
+    reached = F.col("tpr") >= F.lit(float(target))
+    return F.struct(F.max(F.when(reached, F.col("threshold"))).alias("threshold"),
+                    F.min(F.when(reached, F.col("fpr"))).alias("fpr"), F.min(F.when(reached, F.col("tpr"))).alias("tpr"))
 
 
 def tpr_point(budget: float) -> Column:
     """Struct (tpr, threshold) of the largest TPR with FPR within ``budget``, at its highest threshold.
 
-    If nothing but the start of the curve fits, TPR is 0 at threshold +inf.
+    That is the last point within the budget that adds positives. If there is none, TPR is 0 at threshold
+    +inf, the start of the curve; without negatives both are null.
     """
-    best = F.max(F.when((F.col("fpr") <= F.lit(float(budget))) & (F.col("tpr") > 0), F.struct("tpr", "threshold")))
-    start = F.when(F.max("fpr").isNotNull(), F.struct(F.lit(0.0).alias("tpr"), F.lit(INF).alias("threshold")))
-    return F.coalesce(best, start)
+    within = (F.col("fpr") <= F.lit(float(budget))) & (F.col("pos") > 0) & (F.col("tpr") > 0)
+    some = F.max("fpr").isNotNull()
+    return F.struct(F.coalesce(F.max(F.when(within, F.col("tpr"))), F.when(some, F.lit(0.0))).alias("tpr"),
+                    F.coalesce(F.min(F.when(within, F.col("threshold"))), F.when(some, F.lit(INF))).alias("threshold"))
 
 
 def summary(curve: DataFrame, groups: Sequence[str] = (), targets: Sequence[float] = (0.95,),

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from flowlens.functions.relational import attach, join_groups
 
 ROWS_PER_BUCKET = 65_536
-MAX_BUCKETS = 65_536
-OVERSAMPLE = 8
-SEARCH_BITS = 18
+MAX_BUCKETS = 262_144
+OVERSAMPLE = 4
+SEARCH_BITS = 20
 
 
 def splitters(values: DataFrame, keys: Sequence[str], value: str,
@@ -82,7 +82,7 @@ def running(distinct: DataFrame, source: DataFrame, keys: Sequence[str], value:
     edge = F.max_by if descending else F.min_by
     sums = rows.groupBy(*keys, "__bucket").agg(
         *[F.sum(m).alias(m) for m in measures],
-        *([edge(F.struct(*measures), F.col(value)).alias("__first")] if look_ahead else []))
+        *([edge(m, value).alias(f"{m}_next") for m in measures] if look_ahead else []))
     bucket_order = F.col("__bucket").desc() if descending else F.col("__bucket").asc()
     across = W.partitionBy(*keys).orderBy(bucket_order)
     before = across.rowsBetween(W.unboundedPreceding, -1)
@@ -91,7 +91,7 @@ def running(distinct: DataFrame, source: DataFrame, keys: Sequence[str], value:
         *keys, "__bucket", F.lit(0).alias("__row"),
         *[F.coalesce(F.sum(m).over(before), F.lit(0)).cast(distinct.schema[m].dataType).alias(m) for m in measures],
         *[F.sum(m).over(whole).alias(f"{m}_all") for m in measures],
-        *([F.lead("__first").over(across).alias("__first")] if look_ahead else []))
+        *([F.lead(f"{m}_next").over(across).alias(f"{m}_next") for m in measures] if look_ahead else []))
 
     together = rows.withColumn("__row", F.lit(1)).unionByName(starts, allowMissingColumns=True)
     value_order = F.col(value).desc() if descending else F.col(value).asc()
@@ -102,10 +102,9 @@ def running(distinct: DataFrame, source: DataFrame, keys: Sequence[str], value:
         **{f"{m}_all": F.first(f"{m}_all", ignorenulls=True).over(so_far) for m in measures},
     })
     if look_ahead:
-        out = out.withColumn("__first", F.first("__first", ignorenulls=True).over(so_far))
         out = out.withColumns({
-            f"{m}_next": F.coalesce(F.lead(m).over(inside), F.col(f"__first.{m}")) for m in measures})
-        out = out.drop("__first")
+            f"{m}_next": F.coalesce(F.lead(m).over(inside), F.first(f"{m}_next", ignorenulls=True).over(so_far))
+            for m in measures})
     return out.where(F.col("__row") == 1).drop("__row", "__bucket")
 
 

@@ -34,10 +34,8 @@ def best_f1_on_curve(curve: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 
 def at_tpr(curve: DataFrame, target: float, groups: Sequence[str] = (), fallback: float = 0.0) -> DataFrame:
     """Highest threshold whose TPR reaches ``target``; ``fallback`` if none does."""
-    found = curve.groupBy(*groups).agg(M.fpr_point(target).alias("p"),
-                                       F.max(F.when(F.col("tpr") >= target, F.struct("threshold", "tpr"))).alias("q"))
-    return found.select(*groups, F.coalesce(F.col("p.threshold"), F.lit(fallback)).alias("threshold"),
-                        F.col("q.tpr").alias("tpr"))
+    found = curve.groupBy(*groups).agg(M.fpr_point(target).alias("p"))
+    return found.select(*groups, F.coalesce(F.col("p.threshold"), F.lit(fallback)).alias("threshold"), "p.tpr")
 
 
 def at_fpr(curve: DataFrame, budget: float, groups: Sequence[str] = (), fallback: float = 1.0) -> DataFrame:

@@ -277,7 +277,7 @@ def _(spark, d):
 
 @query("fl_3_conversations", f""", {ENDPOINTS.replace('FROM packets', f'FROM (SELECT * REPLACE (CASE WHEN packet_id % 3 = 0 THEN ip_dst ELSE ip_src END AS ip_src, CASE WHEN packet_id % 3 = 0 THEN ip_src ELSE ip_dst END AS ip_dst, CASE WHEN packet_id % 3 = 0 THEN tcp_dp ELSE tcp_sp END AS tcp_sp, CASE WHEN packet_id % 3 = 0 THEN tcp_sp ELSE tcp_dp END AS tcp_dp) FROM packets WHERE {TRANSPORT})')},
 o AS (SELECT *, least((saddr, sport), (daddr, dport)) AS lo, greatest((saddr, sport), (daddr, dport)) AS hi FROM ends),
-r AS (SELECT *, row_number() OVER (PARTITION BY transport, lo, hi ORDER BY t, packet_id) AS i FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY transport, lo, hi ORDER BY t, (saddr, sport)) AS i FROM o),
 f AS (SELECT transport, lo, hi, saddr, sport, daddr, dport FROM r WHERE i = 1)
 SELECT round(max(t) - min(t), 6) AS dur, transport AS proto, f.saddr, f.sport, f.daddr, f.dport,
   CAST(count(*) FILTER (WHERE r.saddr = f.saddr AND r.sport = f.sport) AS BIGINT) AS spkts,
@@ -290,24 +290,24 @@ def _(spark, d):
     swapped = V.packets(spark, d).withColumns({
         a: F.when(back, F.col(b)).otherwise(F.col(a))
         for a, b in (("ip_src", "ip_dst"), ("ip_dst", "ip_src"), ("tcp_sp", "tcp_dp"), ("tcp_dp", "tcp_sp"))})
-    return rounded(FL.conversations(swapped, "packet_id"))
+    return rounded(FL.conversations(swapped))
 
 
 @query("fl_4_parse_conversations", """SELECT round(l_quantity / 8.0e0, 6) AS dur, CASE WHEN l_linenumber % 2 = 0 THEN 'tcp' ELSE 'udp' END AS proto,
   '10.0.0.' || l_suppkey AS saddr, CAST(l_partkey AS VARCHAR) AS sport, '10.1.0.' || l_linenumber AS daddr, '443' AS dport,
   l_orderkey AS spkts, CAST(l_linenumber AS BIGINT) AS dpkts, l_partkey AS sbytes, l_suppkey AS dbytes, 'OK' AS state FROM lineitem""")
 def _(spark, d):
-    # One report per supplier: a TCP section and a UDP section with a line per order line.
+    # One report per order line: a TCP and a UDP section, of which one is empty.
     lines = V.table(spark, d, "lineitem").select(
-        "l_suppkey", (F.col("l_linenumber") % 2 == 0).alias("tcp"),
+        (F.col("l_linenumber") % 2 == 0).alias("tcp"),
         F.format_string("10.0.0.%s:%s   <->  10.1.0.%s:443   %s %s  %s %s  %s", F.col("l_suppkey").cast("string"),
                         F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_orderkey").cast("string"),
                         F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string"),
                         (F.col("l_quantity") / 8.0).cast("string")).alias("line"))
     rule = "=" * 40
-    reports = lines.groupBy("l_suppkey").agg(F.concat_ws(
-        "\n", F.lit(rule), F.lit("TCP Conversations"), F.lit("Filter:<No Filter>"), F.collect_list(F.when(F.col("tcp"), F.col("line"))),
-        F.lit(rule), F.lit("UDP Conversations"), F.lit("Filter:<No Filter>"), F.collect_list(F.when(~F.col("tcp"), F.col("line"))),
+    reports = lines.select(F.concat_ws(
+        "\n", F.lit(rule), F.lit("TCP Conversations"), F.lit("Filter:<No Filter>"), F.when(F.col("tcp"), F.col("line")),
+        F.lit(rule), F.lit("UDP Conversations"), F.lit("Filter:<No Filter>"), F.when(~F.col("tcp"), F.col("line")),
         F.lit(rule)).alias("value"))
     return rounded(FL.parse_conversations(reports))
 
@@ -604,20 +604,20 @@ CODES = """codes AS (SELECT feature, v, dense_rank() OVER (PARTITION BY feature
   SELECT DISTINCT 'state' AS feature, coalesce(state, 'NA') AS v FROM {rows} UNION SELECT DISTINCT 'proto', coalesce(proto, 'NA') FROM {rows}))"""
 
 
-@query("ft_7_union_codes", GAPS + ", " + CODES.format(rows="gaps") + " SELECT feature, v AS value, CAST(code AS INTEGER) AS code FROM codes")
+@query("ft_7_union_codes", GAPS + ", " + CODES.format(rows="gaps") + " SELECT feature, v AS value, CAST(code AS BIGINT) AS code FROM codes")
 def _(spark, d):
     rows = _gaps(spark, d)
     return FT.union_codes(rows.where("k % 2 = 0"), rows.where("k % 2 = 1"), ["state", "proto"])
 
 
 @query("ft_8_train_codes", GAPS + ", train AS (SELECT * FROM gaps WHERE state IS DISTINCT FROM 'R'), " + CODES.format(rows="train")
-       + " SELECT feature, v AS value, CAST(code AS INTEGER) AS code FROM codes")
+       + " SELECT feature, v AS value, CAST(code AS BIGINT) AS code FROM codes")
 def _(spark, d):
     return FT.fit_codes(_gaps(spark, d).where("state IS DISTINCT FROM 'R'"), ["state", "proto"])
 
 
 @query("ft_9_encode_unknown", GAPS + ", train AS (SELECT * FROM gaps WHERE state IS DISTINCT FROM 'R'), " + CODES.format(rows="train") + """
-SELECT k, CAST(coalesce(a.code, 0) AS INTEGER) AS state, CAST(coalesce(b.code, 0) AS INTEGER) AS proto FROM gaps
+SELECT k, CAST(coalesce(a.code, 0) AS BIGINT) AS state, CAST(coalesce(b.code, 0) AS BIGINT) AS proto FROM gaps
 LEFT JOIN codes a ON a.feature = 'state' AND a.v = coalesce(state, 'NA') LEFT JOIN codes b ON b.feature = 'proto' AND b.v = coalesce(proto, 'NA')""")
 def _(spark, d):
     rows = _gaps(spark, d)

@@ -141,8 +141,7 @@ def test_windows_start_at_the_first_packet(spark):
 
 
 def test_conversation_starts_with_its_first_packet(spark):
-    df = spark.createDataFrame(PACKETS, PACKET_SCHEMA).withColumn("k", F.monotonically_increasing_id())
-    got = {r["proto"]: r for r in FL.conversations(df, "k").collect()}
+    got = {r["proto"]: r for r in FL.conversations(spark.createDataFrame(PACKETS, PACKET_SCHEMA)).collect()}
     assert (got["tcp"]["saddr"], got["tcp"]["spkts"], got["tcp"]["dpkts"], got["tcp"]["dbytes"]) == ("a", 2, 1, 10)
 
 
