@@ -53,24 +53,23 @@ def psi(values: DataFrame, bins: int = 10, eps: float = 1e-6, min_n: int = 50) -
     at = F.least(position("value", "edges", "steps"), F.size("edges") - 1)
     binned = placed.withColumn("bin", F.when(F.col("edges").isNotNull() & within, at))
 
-    def cell(side: int, b: int) -> Column:
-        return F.sum(F.when((F.col("is_ref") == side) & (F.col("bin") == b), 1).otherwise(0)).alias(f"c{side}_{b}")
-
-    counts = binned.groupBy("feature").agg(
-        F.max(F.size("edges") - 1).alias("k"),
-        F.sum(F.when(F.col("is_ref") == 1, 1).otherwise(0)).alias("n_ref"),
-        F.sum(F.when(F.col("is_ref") == 0, 1).otherwise(0)).alias("n_tgt"),
-        *[cell(side, b) for side in (1, 0) for b in range(1, bins + 1)])
-    share = {}
-    for side in (1, 0):
-        total = F.greatest(sum((F.col(f"c{side}_{b}") for b in range(2, bins + 1)), F.col(f"c{side}_1")), F.lit(1))
-        for b in range(1, bins + 1):
-            share[side, b] = F.least(F.greatest(F.col(f"c{side}_{b}") / total, F.lit(eps)), F.lit(1.0))
-    terms = [F.when(F.col("k") >= b, (share[0, b] - share[1, b]) * F.log(share[0, b] / share[1, b])).otherwise(0.0)
-             for b in range(1, bins + 1)]
-    index = sum(terms[1:], terms[0])
-    enough = (F.col("n_ref") >= min_n) & (F.col("n_tgt") >= min_n) & (F.col("k") >= 2)
-    return counts.select("feature", F.when(enough, index).alias("psi"))
+    # Counted per bin before the shuffle; what is gathered per feature is at most one count per side and bin.
+    cells = binned.groupBy("feature", "is_ref", "bin").agg(F.count(F.lit(1)).alias("n"),
+                                                           F.max(F.size("edges") - 1).alias("k"))
+    counts = cells.groupBy("feature").agg(
+        F.max("k").alias("k"),
+        *[F.expr(f"coalesce(sum(if(is_ref = {side}, n, 0)), 0) AS n_{side}") for side in (1, 0)],
+        *[F.expr(f"greatest(sum(if(is_ref = {side} AND bin IS NOT NULL, n, 0)), 1) AS inside_{side}") for side in (1, 0)],
+        *[F.expr(f"map_from_entries(collect_list(if(is_ref = {side} AND bin IS NOT NULL, struct(bin, n), null))) "
+                 f"AS bins_{side}") for side in (1, 0)])
+
+    def share(side: int) -> str:
+        return f"least(greatest(coalesce(try_element_at(bins_{side}, b), 0) / inside_{side}, {eps!r}D), 1D)"
+
+    shares = F.expr(f"transform(sequence(1, greatest(k, 1)), b -> struct({share(1)} AS e, {share(0)} AS a))")
+    index = F.expr("aggregate(shares, 0D, (total, x) -> total + (x.a - x.e) * ln(x.a / x.e))")
+    enough = (F.col("n_1") >= min_n) & (F.col("n_0") >= min_n) & (F.col("k") >= 2)
+    return counts.withColumn("shares", shares).select("feature", F.when(enough, index).alias("psi"))
 
 
 def ks(values: DataFrame) -> DataFrame:
