@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.operators import cleaning as CL
 from flowlens.operators import features as FT
-from flowlens.operators import flows as FL
 from flowlens.operators import labels as LB
 from flowlens.operators import merge as MG
 from flowlens.operators import metrics as M

@@ -42,12 +42,12 @@ def _(spark, d):
     return CL.canonical_names(V.raw_flows(spark, d))
 
 
-@query("cl_3_canonical_if_absent", """SELECT "Dur", "Dur" AS dur, "Proto" AS proto FROM raw_flows""", "raw_flows")
+@query("cl_3_canonical_if_absent", """SELECT "Dur" AS raw_dur, 'kept' AS dur, "Proto" AS proto FROM raw_flows""", "raw_flows")
 def _(spark, d):
-    rows = V.raw_flows(spark, d).select("Dur", F.col("Dur").alias("dur_"), "Proto")
-    # Column names are matched without case by Spark, so the taken name is compared exactly by the operator.
-    spark_rows = CL.canonical_names(rows.withColumnRenamed("dur_", "taken"), {"Proto": "proto", "Dur": "taken"}, only_if_absent=True)
-    return spark_rows.select(F.col("Dur"), F.col("taken").alias("dur"), "proto")
+    # The table already has the name that Time would get, so only Proto is renamed.
+    rows = V.raw_flows(spark, d).select(F.col("Dur").alias("Time"), F.lit("kept").alias("dur"), "Proto")
+    named = CL.canonical_names(rows, {"Proto": "proto", "Time": "dur"}, only_if_absent=True)
+    return named.withColumnRenamed("Time", "raw_dur")
 
 
 @query("cl_4_trim_text", """, s AS (SELECT CASE WHEN "SrcPkts" = '7' THEN NULL ELSE "SrcAddr" END AS saddr, "State" AS state FROM raw_flows)
@@ -478,9 +478,8 @@ def _(spark, d):
 
 
 @query("sh_7_top_shifts", REPORT_SQL + """, keyed AS (SELECT *, CASE WHEN type = 'num' THEN coalesce(psi, 0) * 10 + coalesce(ks, 0) ELSE coalesce(tv, 0) END AS rank_key FROM report)
-SELECT feature, type, round(rank_key, 6) AS rank_key, CAST(row_number() OVER (PARTITION BY type ORDER BY rank_key DESC, feature) AS INTEGER) AS place
-FROM keyed QUALIFY place <= 2""".replace("round(rank_key, 6) AS rank_key, CAST(row_number() OVER (PARTITION BY type ORDER BY rank_key DESC",
-                                         "round(rank_key, 6) AS rank_key, CAST(row_number() OVER (PARTITION BY type ORDER BY keyed.rank_key DESC"), "ref tgt")
+SELECT feature, type, round(rank_key, 6) AS rank_key, CAST(row_number() OVER (PARTITION BY type ORDER BY keyed.rank_key DESC, feature) AS INTEGER) AS place
+FROM keyed QUALIFY place <= 2""", "ref tgt")
 def _(spark, d):
     top = SH.top_shifts(SH.shift_report(V.ref_orders(spark, d), V.tgt_orders(spark, d)), 2)
     return rounded(top.select("feature", "type", "rank_key", "place"))
