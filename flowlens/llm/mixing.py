@@ -42,10 +42,11 @@ def source_targets(sized: DataFrame) -> DataFrame:
         F.sum("weight").over(everything).alias("weights"),
         F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("full"),
         F.coalesce(F.sum("weight").over(before), F.lit(0)).alias("full_weights"))
-    # The level if all sources before this one are full and this one is not; the first that fits is the right one.
+    # The level if all sources before this one are full and this one is not. The first that fits is right; later ones
+    # fill sources that aren't full, so theirs are lower.
     guess = (F.col("total") - MOST * F.col("full")) / (F.col("weights") - F.col("full_weights"))
     fits = guess * F.col("weight") <= MOST * F.col("source_size")
-    level = level.withColumn("level", F.min(F.when(fits, guess)).over(everything))
+    level = level.withColumn("level", F.max(F.when(fits, guess)).over(everything))
     return level.select("source", "source_size", F.least(
         (MOST * F.col("source_size")).cast("double"),
         F.coalesce(F.col("weight") * F.col("level"), F.lit(float("inf")))).alias("target"))

@@ -105,7 +105,7 @@ l AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weight
       FROM w WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST
                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT *, (total - 3 * full_size) / (weights - full_weights) AS guess FROM l),
-h AS (SELECT *, min(CASE WHEN guess * weight <= 3 * source_size THEN guess END) OVER () AS level FROM g),
+h AS (SELECT *, max(CASE WHEN guess * weight <= 3 * source_size THEN guess END) OVER () AS level FROM g),
 t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), weight * level) AS target FROM h),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
 x AS (SELECT d.doc_id, d.size, r.source_size, r.target, floor(rate) AS whole,
