@@ -3,7 +3,8 @@
 Every source has a target in words. A document of a source whose target is r times its size is wanted r times: floor(r)
 whole copies are certain, and the remaining inclusion probability p = r - floor(r) is drawn. For that each document
 gets a random number u, fixed by its key, and the rank value (u / (1 - u)) / (p / (1 - p)); documents are taken in that
-order until the source's words come nearest to p times its size. Only built-in functions, no Python on the data.
+order until the source's words come nearest to p times its size; one last document is then drawn or undrawn if its
+size closes what a long document at the cut left open. Only built-in functions, no Python on the data.
 
 Sizes count words; null text has size 0. A null source is a source of its own, last in order. Rows that repeat a doc_id
 have the same u and stay neighbours in the order, told apart by their text and then taken as they come (equal rows are
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.relational import fitted
-from flowlens.llm.base import WORD
+from flowlens.llm.base import WORD, saved
 
 MOST = 3
 BUCKETS = 4096
@@ -52,18 +53,13 @@ def source_targets(sized: DataFrame) -> DataFrame:
         F.coalesce(F.col("weight") * F.col("level"), F.lit(float("inf")))).alias("target"))
 
 
-def plan(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of every row: how often the mix takes the document.
-
-    With ``whole`` also doc, a struct of all columns of the row.
-    """
+def plan(docs: DataFrame) -> DataFrame:
+    """doc_id, tie (a hash of the text), source, size, source_size, target, copies of every row."""
     unit = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10)
             .cast("long") + 0.5) / float(2**UNIT_BITS)
-    keep = ["doc_id", "source", "size"] + ["doc"] * whole
-    sized = docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        unit.alias("u"), F.xxhash64("text").alias("tie"),
-        *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] * whole)
+    sized = saved(docs.select(
+        "doc_id", F.xxhash64("text").alias("tie"), "source",
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), unit.alias("u")), "mix-sized")
     targets = source_targets(sized.select("source", "size"))
     rate = F.when(F.col("source_size") > 0, F.try_divide("target", "source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("rate", rate).select(
@@ -91,11 +87,27 @@ def plan(docs: DataFrame, whole: bool = False) -> DataFrame:
     inside = inside.withColumn("drawn", nearest & (F.col("size") > 0))
     outside = rows.where(~F.coalesce(bucket == F.col("cut"), F.lit(False))).withColumn(
         "drawn", F.coalesce(bucket < F.col("cut"), F.lit(False)))
-    done = [*keep, "source_size", "target", (F.col("certain") + F.col("drawn").cast("long")).alias("copies")]
-    return inside.select(*done).unionByName(outside.select(*done))
+    done = ["doc_id", "tie", "source", "size", "source_size", "target", "certain", "wanted", "drawn"]
+    drawn = saved(inside.select(*done).unionByName(outside.select(*done)), "mix-drawn")
+    # A very long document at the cut leaves a gap: the one document whose size fits it best is drawn or undrawn.
+    gap = fitted(drawn.groupBy("source", "wanted").agg(
+        (F.col("wanted") - F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0))).alias("gap"))
+        .select(F.col("source").alias("of"), "gap"))
+    misfit = F.abs(F.col("size") - F.abs("gap"))
+    swap = fitted(drawn.join(gap, F.col("source").eqNullSafe(F.col("of")), "left")
+                  .where((F.col("size") > 0) & (F.col("drawn") == (F.col("gap") < 0)) & (misfit < F.abs("gap")))
+                  .groupBy("source").agg(F.min(F.struct(misfit.alias("misfit"), "doc_id", "tie")).alias("x"))
+                  .select(F.col("source").alias("of"), F.col("x.doc_id").alias("swap"), F.col("x.tie").alias("swap_tie")))
+    drawn = drawn.join(swap, F.col("source").eqNullSafe(F.col("of")), "left")
+    swapped = F.coalesce(F.col("doc_id").eqNullSafe(F.col("swap")) & (F.col("tie") == F.col("swap_tie")), F.lit(False))
+    return drawn.select("doc_id", "tie", "source", "size", "source_size", "target",
+                        (F.col("certain") + (F.col("drawn") != swapped).cast("long")).alias("copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    taken = plan(docs, whole=True).where((F.col("copies") > 0) & (F.col("size") > 0))
-    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("doc.*")
+    taken = (plan(docs).where((F.col("copies") > 0) & (F.col("size") > 0)).dropDuplicates(["doc_id", "tie"])
+             .select(F.col("doc_id").alias("__of"), F.col("tie").alias("__tie"), F.col("copies").alias("__copies")))
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.xxhash64("text") == F.col("__tie")))
+    return (rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

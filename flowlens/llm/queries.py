@@ -108,13 +108,17 @@ g AS (SELECT *, (total - 3 * full_size) / (weights - full_weights) AS guess FROM
 h AS (SELECT *, max(CASE WHEN guess * weight <= 3 * source_size THEN guess END) OVER () AS level FROM g),
 t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), weight * level) AS target FROM h),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
-x AS (SELECT d.doc_id, d.size, r.source_size, r.target, floor(rate) AS whole,
+x AS (SELECT d.doc_id, d.source, d.size, r.source_size, r.target, floor(rate) AS whole,
              (rate - floor(rate)) * r.source_size AS wanted,
              sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id) AS upto
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+y AS (SELECT *, size > 0 AND 2 * (wanted - (upto - size)) >= size AS drawn FROM x),
+z AS (SELECT *, wanted - sum(CASE WHEN drawn THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM y),
+k AS (SELECT source AS of, doc_id AS swap FROM z WHERE size > 0 AND drawn = (gap < 0) AND abs(size - abs(gap)) < abs(gap)
+      QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - abs(gap)), doc_id) = 1)
 SELECT doc_id, size, source_size, target,
-       CAST((whole + CASE WHEN 2 * (wanted - (upto - size)) >= size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM x""",
+       CAST((whole + CASE WHEN drawn <> coalesce(doc_id = swap, false) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM z LEFT JOIN k ON z.source IS NOT DISTINCT FROM k.of""",
     "op7_warc": """
 WITH p AS (
     SELECT page_id, sha256(coalesce(html, '')) AS digest,
