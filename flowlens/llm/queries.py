@@ -111,7 +111,7 @@ r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END A
 x AS (SELECT d.doc_id, d.source, d.size, r.source_size, r.target, floor(rate) AS whole,
              (rate - floor(rate)) * r.source_size AS wanted,
              sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id) AS upto
-      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
 y AS (SELECT *, size > 0 AND 2 * (wanted - (upto - size)) >= size AS drawn FROM x),
 z AS (SELECT *, wanted - sum(CASE WHEN drawn THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM y),
 k AS (SELECT source AS of, doc_id AS swap FROM z WHERE size > 0 AND drawn = (gap < 0) AND abs(size - abs(gap)) < abs(gap)
