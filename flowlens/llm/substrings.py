@@ -9,8 +9,9 @@ at their ends, and symbols never stand for more than LIMITS words, so that a win
 Where the ends of a window stop mattering is worked out from the window alone: at every round, what a run or pair may
 have taken in beyond an end is left out. Of the symbols certainly inside, the one with the smallest name is the window's
 anchor. Windows with equal words have equal anchors, so only windows whose anchor occurs in two documents are looked at
-again. These are compared by a 96-bit hash of their words, and the smallest doc_id that has one is found by an
-aggregation. A window without a certain symbol is its own anchor; nothing is lost.
+again. These are compared by anchor and a hash of their words (128 bits), in one task for an anchor that few documents
+have, otherwise by an aggregation of the smallest doc_id that is joined back. A window without a certain symbol is its
+own anchor; nothing is lost.
 
 Documents whose word sequences are wholly equal are settled first, by the hash of the sequence: all but the smallest
 doc_id lose every word (if there are WINDOW words). Whole texts are never gathered by content; groups are of hashes
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.base import saved
@@ -37,6 +38,9 @@ from flowlens.llm.vectors import BASE, U, Words, batches, mix, runs, signed
 WINDOW = 50
 LIMITS = (2, 4, 6)
 BARRIER = 1 << 40
+BLOCK = 62
+#: Anchors with more occurrences than this are compared window by window in any number of tasks.
+FEW = 64
 
 
 class Parse:
@@ -123,24 +127,21 @@ class Parse:
             width *= 2
 
 
-def window_hashes(words: Words, window: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the ``window`` words from each start, by powers in two rings of numbers."""
-    out = []
-    for base in (BASE, 0xD1342543DE82EF95):
-        up = np.concatenate([np.ones(1, U), np.cumprod(np.full(len(words.hashes), base, U))])
-        down = np.concatenate([np.ones(1, U), np.cumprod(np.full(len(words.hashes), pow(base, -1, 2**64), U))])
-        sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(words.hashes + U(base & 0xFFFF)) * up[:len(words.hashes)])])
-        out.append(mix((sums[starts + window] - sums[starts]) * down[starts]))
-    return out[0], out[1]
+def window_hashes(words: Words, window: int, starts: np.ndarray) -> np.ndarray:
+    """A hash of the ``window`` words from each start."""
+    up, down = (np.concatenate([np.ones(1, U), np.cumprod(np.full(len(words.hashes), base, U))])
+                for base in (BASE, pow(BASE, -1, 2**64)))
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(words.hashes + U(5)) * up[:len(words.hashes)])])
+    return mix((sums[starts + window] - sums[starts]) * down[starts])
 
 
-def scan(texts: list, window: int, limits: tuple[int, ...]) -> Iterator[tuple[int, Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For ranges of texts: the first one's place, words, and for all windows start, both hashes and anchor."""
+def scan(texts: list, window: int, limits: tuple[int, ...]) -> Iterator[tuple[int, Words, np.ndarray, np.ndarray, np.ndarray]]:
+    """For ranges of texts: the first one's place, words, and for all windows start, hash and anchor."""
     for a, b in batches(texts):
         words = Words(texts[a:b])
         parse = Parse(words, window, limits)
-        one, two = window_hashes(words, window, parse.starts)
-        yield a, words, parse.starts, one, two, parse.anchors(one)
+        hashes = window_hashes(words, window, parse.starts)
+        yield a, words, parse.starts, hashes, parse.anchors(hashes)
 
 
 def described(docs: DataFrame, window: int = WINDOW, limits: tuple[int, ...] = LIMITS) -> DataFrame:
@@ -149,7 +150,7 @@ def described(docs: DataFrame, window: int = WINDOW, limits: tuple[int, ...] = L
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             texts, rows = list(f.text), []
-            for a, words, starts, _, _, anchors in scan(texts, window, limits):
+            for a, words, starts, _, anchors in scan(texts, window, limits):
                 cuts = np.searchsorted(starts, words.offsets)
                 for i in range(len(words.offsets) - 1):
                     parts = (texts[a + i] or "").encode("utf-8", "surrogatepass").split()
@@ -168,47 +169,75 @@ def described(docs: DataFrame, window: int = WINDOW, limits: tuple[int, ...] = L
 def repeated_windows(docs: DataFrame, rows: DataFrame, window: int = WINDOW,
                      limits: tuple[int, ...] = LIMITS) -> tuple[DataFrame, DataFrame]:
     """Of the rows that own their word sequence and share an anchor with another document: the texts, and the windows
-    (doc_id, tag, at: number of the first word) that a smaller doc_id has too."""
+    that a smaller doc_id has too: doc_id, tag, and the bits of mask, counted from the window that starts at word at."""
     long = rows.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     owners = long.groupBy("sha").agg(F.min(F.struct("doc_id", "mark", "tag", "anchors")).alias("o")).select("o.*")
     anchors = owners.select("doc_id", "mark", "tag", F.explode("anchors").alias("anchor"))
-    shared = (anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-              .where("low < high").select("anchor"))
+    shared = (anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+                                            F.count(F.lit(1)).alias("n"))
+              .where("low < high").select("anchor", (F.col("n") > FEW).alias("many")))
     wanted = anchors.join(shared, "anchor").groupBy("doc_id", "mark", "tag").agg(
-        F.collect_list("anchor").alias("wanted"))
+        F.collect_list(F.when(~F.col("many"), F.col("anchor"))).alias("few"),
+        F.collect_list(F.when(F.col("many"), F.col("anchor"))).alias("many"))
     own = docs.select(F.col("doc_id").alias("of"), F.xxhash64("text").alias("like"), "text")
     texts = saved(own.join(wanted, (F.col("of") == F.col("doc_id")) & (F.col("like") == F.col("mark")))
-                  .select("doc_id", "tag", "text", "wanted"), "substrings-texts")
+                  .select("doc_id", "tag", "text", "few", "many"), "substrings-texts")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            texts, tags, wanted, ids = list(f.text), f.tag.to_numpy(), list(f.wanted), f.doc_id.to_numpy()
-            for a, words, starts, one, two, anchors in scan(texts, window, limits):
-                cuts, keep = np.searchsorted(starts, words.offsets), []
-                for i in range(len(words.offsets) - 1):
-                    own = cuts[i] + np.flatnonzero(np.isin(signed(anchors[cuts[i]:cuts[i + 1]]), wanted[a + i]))
-                    keep.append(pd.DataFrame({
-                        "one": signed(one[own]), "two": (two[own] >> U(32)).astype(np.uint32).view(np.int32),
-                        "doc_id": ids[a + i], "tag": tags[a + i], "at": (starts[own] - words.offsets[i]).astype(np.int32)}))
-                yield pd.concat(keep, ignore_index=True)
-
-    windows = saved(texts.mapInPandas(run, "one long, two int, doc_id long, tag int, at int"), "substrings-windows")
-    first = (windows.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-             .where("low < high").select("one", "two", "low"))
-    return texts, windows.join(first, ["one", "two"]).where("doc_id > low").select("doc_id", "tag", "at")
+            texts, few, many = list(f.text), list(f.few), list(f.many)
+            for a, words, starts, hashes, anchors in scan(texts, window, limits):
+                cuts, anchors = np.searchsorted(starts, words.offsets), signed(anchors)
+                kind = np.zeros(len(anchors), np.int8)
+                for i, (low, high) in enumerate(zip(cuts, cuts[1:])):
+                    kind[low:high] = np.where(np.isin(anchors[low:high], many[a + i]), 2,
+                                              np.isin(anchors[low:high], few[a + i]))
+                # A block: neighbouring windows of one anchor in one text, BLOCK at most.
+                owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+                change = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])])
+                                        if len(anchors) else [])
+                since = np.arange(len(anchors)) - np.repeat(change, np.diff(np.append(change, len(anchors))))
+                first = np.flatnonzero(since % BLOCK == 0)
+                last = np.append(first[1:], len(anchors))
+                wanted = kind[first] > 0
+                first, last, hashes = first[wanted], last[wanted], signed(hashes)
+                rows = a + owner[first]
+                yield pd.DataFrame({
+                    "anchor": anchors[first], "many": kind[first] == 2, "doc_id": f.doc_id.to_numpy()[rows],
+                    "tag": f.tag.to_numpy()[rows], "at": (starts[first] - words.offsets[owner[first]]).astype(np.int32),
+                    "hashes": [hashes[x:y] for x, y in zip(first, last)]})
+
+    blocks = saved(texts.mapInPandas(
+        run, "anchor long, many boolean, doc_id long, tag int, at int, hashes array<long>"), "substrings-blocks")
+    # Of an anchor with few occurrences all blocks meet in one task, and their windows are compared there.
+    few = (blocks.where(~F.col("many")).drop("many").repartition("anchor")
+           .select("anchor", "doc_id", "tag", "at", F.posexplode("hashes").alias("k", "hash"))
+           .withColumn("low", F.min("doc_id").over(Window.partitionBy("anchor", "hash")))
+           .where("doc_id > low").groupBy("anchor", "doc_id", "tag", "at")
+           .agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask")).drop("anchor"))
+    # Of one with many the smallest doc_id of each window is aggregated first and joined, which a hot window can't stop.
+    each = blocks.where("many").select("anchor", "doc_id", "tag", "at", F.posexplode("hashes").alias("k", "hash"))
+    first = each.groupBy("anchor", "hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where(
+        "low < high").drop("high")
+    many = (each.join(first, ["anchor", "hash"]).where("doc_id > low").groupBy("doc_id", "tag", "at")
+            .agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask")))
+    return texts, few.unionByName(many)
 
 
 def _cut(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
     """doc_id, tag, n_removed and kept (the remaining words joined by one space) of the rows that lose words."""
-    spans = found.groupBy("doc_id", "tag").agg(F.collect_set("at").alias("at"))
+    spans = found.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("at", "mask")).alias("found"))
+    spans = spans.select("doc_id", "tag", F.col("found.at").alias("at"), F.col("found.mask").alias("mask"))
+    bits = np.arange(BLOCK)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for text, at in zip(f.text, f["at"]):
+            for text, at, mask in zip(f.text, f["at"], f["mask"]):
                 words = text.encode("utf-8", "surrogatepass").split()
                 edge = np.zeros(len(words) + 1, np.int64)
-                at = np.asarray(at)
+                lost = (np.asarray(mask)[:, None] >> bits & 1).astype(bool)
+                at = np.unique((np.asarray(at, np.int64)[:, None] + bits)[lost])
                 edge[at] += 1
                 edge[at + window] -= 1
                 gone = np.cumsum(edge[:-1]) > 0

@@ -425,7 +425,7 @@ def test_equal_windows_have_equal_anchors():
         texts = [" ".join(random.choices(letters, k=random.randint(0, 30)) + base[i:i + 90] + random.choices(letters, k=9))
                  for i in (0, 7, 20, 40)] + ["", None]
         found = defaultdict(set)
-        for a, w, starts, one, two, anchors in substrings.scan(texts, 50, substrings.LIMITS):
+        for a, w, starts, hashes, anchors in substrings.scan(texts, 50, substrings.LIMITS):
             every = [w.raw[s:e] for s, e in zip(w.starts, w.ends)]
             for s, anchor in zip(starts, anchors):
                 found[tuple(every[s:s + 50])].add(int(anchor))
