@@ -40,7 +40,7 @@ LIMITS = (2, 4, 6)
 BARRIER = 1 << 40
 BLOCK = 62
 #: Anchors with more occurrences than this are compared window by window in any number of tasks.
-FEW = 64
+FEW = 4096
 
 
 class Parse:
