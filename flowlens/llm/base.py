@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_open: list[list[str]] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
+    if _open:
+        _open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The saved result of ``build``; tables it saved on the way are deleted once the result is written."""
+    _open.append([])
+    try:
+        result = build()
+        between = list(_open[-1])
+    finally:
+        _open.pop()
+    out, spark = saved(result, name), result.sparkSession
+    for path in between:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return out
+
+
 def fold(key: Column) -> Column:
     """crc32 of the key as text, modulo 5; null for a null key."""
     return F.crc32(key.cast("string")) % FOLDS

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.relational import fitted
-from flowlens.llm.base import WORD, saved
+from flowlens.llm.base import WORD, saved, settled
 
 MOST = 3
 BUCKETS = 4096
@@ -55,6 +55,10 @@ def source_targets(sized: DataFrame) -> DataFrame:
 
 def plan(docs: DataFrame) -> DataFrame:
     """doc_id, tie (a hash of the text), source, size, source_size, target, copies of every row."""
+    return settled(lambda: _plan(docs), "mix-plan")
+
+
+def _plan(docs: DataFrame) -> DataFrame:
     unit = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10)
             .cast("long") + 0.5) / float(2**UNIT_BITS)
     sized = saved(docs.select(

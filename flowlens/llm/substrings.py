@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.base import saved
+from flowlens.llm.base import saved, settled
 from flowlens.llm.vectors import BASE, U, Words, batches, mix, runs, signed
 
 WINDOW = 50
@@ -40,7 +40,7 @@ LIMITS = (2, 4, 6)
 BARRIER = 1 << 40
 BLOCK = 62
 #: Anchors with more occurrences than this are compared window by window in any number of tasks.
-FEW = 4096
+FEW = 100_000
 
 
 class Parse:
@@ -172,13 +172,14 @@ def repeated_windows(docs: DataFrame, rows: DataFrame, window: int = WINDOW,
     that a smaller doc_id has too: doc_id, tag, and the bits of mask, counted from the window that starts at word at."""
     long = rows.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     owners = long.groupBy("sha").agg(F.min(F.struct("doc_id", "mark", "tag", "anchors")).alias("o")).select("o.*")
-    anchors = owners.select("doc_id", "mark", "tag", F.explode("anchors").alias("anchor"))
+    anchors = owners.select("doc_id", "tag", F.explode("anchors").alias("anchor"))
     shared = (anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
                                             F.count(F.lit(1)).alias("n"))
               .where("low < high").select("anchor", (F.col("n") > FEW).alias("many")))
-    wanted = anchors.join(shared, "anchor").groupBy("doc_id", "mark", "tag").agg(
+    wanted = anchors.join(shared, "anchor").groupBy("doc_id", "tag").agg(
         F.collect_list(F.when(~F.col("many"), F.col("anchor"))).alias("few"),
         F.collect_list(F.when(F.col("many"), F.col("anchor"))).alias("many"))
+    wanted = wanted.join(owners.select("doc_id", "tag", "mark"), ["doc_id", "tag"])
     own = docs.select(F.col("doc_id").alias("of"), F.xxhash64("text").alias("like"), "text")
     texts = saved(own.join(wanted, (F.col("of") == F.col("doc_id")) & (F.col("like") == F.col("mark")))
                   .select("doc_id", "tag", "text", "few", "many"), "substrings-texts")
@@ -271,14 +272,16 @@ def changes(docs: DataFrame, window: int = WINDOW, limits: tuple[int, ...] = LIM
 
 def removals(docs: DataFrame, window: int = WINDOW, limits: tuple[int, ...] = LIMITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    return changes(docs, window, limits).select(
-        "doc_id", "n_words", "n_removed", F.coalesce(F.sha2("kept", 256), F.col("sha")).alias("kept_sha256"))
+    return settled(lambda: changes(docs, window, limits).select(
+        "doc_id", "n_words", "n_removed", F.coalesce(F.sha2("kept", 256), F.col("sha")).alias("kept_sha256")),
+        "substrings-removals")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, limits: tuple[int, ...] = LIMITS) -> DataFrame:
     """The rows of ``docs``; of those that lose words, text is what remains, joined by one space, and n_chars its length."""
-    changed = (changes(docs, window, limits).where("n_removed > 0").dropDuplicates(["doc_id", "mark"])
-               .select(F.col("doc_id").alias("__of"), F.col("mark").alias("__mark"), F.col("kept").alias("__kept")))
+    changed = settled(lambda: changes(docs, window, limits).where("n_removed > 0").dropDuplicates(["doc_id", "mark"])
+                      .select(F.col("doc_id").alias("__of"), F.col("mark").alias("__mark"), F.col("kept").alias("__kept")),
+                      "substrings-changed")
     new = {"text": F.coalesce("__kept", "text"), "n_chars": F.coalesce(F.length("__kept"), F.col("n_chars")).cast("long")}
     joined = docs.join(changed, (F.col("doc_id") == F.col("__of")) & (F.xxhash64("text") == F.col("__mark")), "left")
     return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
