@@ -46,8 +46,8 @@ def protocol_name(number: Column) -> Column:
 def protocol_any(value: Column) -> Column:
     """Protocol from a name or a number in any spelling (``6``, ``6.0``, `` TCP ``); empty is ``unk``."""
     text = F.lower(F.trim(F.coalesce(value.cast("string"), F.lit("nan"))))
-    number = F.when(text.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$"), text.try_cast("double").cast("int"))
-    named = F.coalesce(F.try_element_at(_protocols("int"), number), number.cast("string"))
+    number = F.when(text.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$"), text.try_cast("double").try_cast("bigint"))
+    named = F.coalesce(F.try_element_at(_protocols("bigint"), number), number.cast("string"))
     return F.coalesce(named, F.when(text == "", "unk").otherwise(text))
 
 

@@ -21,22 +21,25 @@ from flowlens.functions.hashing import PRIME, coefficients, row_hash
 from flowlens.operators import metrics as M
 from flowlens.operators.ordered import ROWS_PER_BUCKET, bucketed, splitters
 
-# Cells up to this size are drawn by inverting the Poisson distribution, larger ones by its normal
-# expansion to second order, whose error falls with the cell size.
-EXACT_UP_TO = 16
 # Weights held in a task at a time.
 BLOCK = 1_000_000
+# Half the width, in root means, of the range outside which a Poisson count does not fall in double precision.
+SPREAD = 12
 
 
-def poisson_steps(mean: int) -> list[float]:
-    """The Poisson distribution function at 0, 1, 2… until it is 1 in double precision."""
-    steps, term, total, k = [], math.exp(-mean), 0.0, 0
-    while total < 1.0 and k < 40 + 4 * mean:
-        total += term
-        steps.append(min(total, 1.0))
-        k += 1
-        term *= mean / k
-    return steps
+def poisson_steps(mean: int) -> tuple[int, np.ndarray]:
+    """The first count with any chance and the Poisson distribution function from there on.
+
+    One rule for every mean: chances relative to that of the mean itself come from the ratios of neighbours
+    (mean / k upwards, k / mean downwards), and are divided by their sum.
+    """
+    reach = SPREAD * math.sqrt(mean) + SPREAD
+    first, last = max(0, math.floor(mean - reach)), math.ceil(mean + reach)
+    up = np.cumprod(mean / np.arange(mean + 1, last + 1, dtype=float))
+    down = np.cumprod(np.arange(mean, first, -1, dtype=float) / mean)[::-1]
+    chances = np.concatenate([down, [1.0], up])
+    steps = np.cumsum(chances)
+    return first, steps / steps[-1]
 
 
 def _draws(coefs: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -52,15 +55,10 @@ def poisson_weights(coefs: np.ndarray, counts: np.ndarray, reps: int) -> np.ndar
     points = np.arange(1, reps + 1, dtype=np.int64)
     first = _draws(coefs, 2 * points)
     weights = np.zeros(first.shape)
-    for size in np.unique(counts[counts <= EXACT_UP_TO]):
+    for size in np.unique(counts):
         mine = counts == size
-        weights[mine] = np.searchsorted(np.array(poisson_steps(int(size))), first[mine], side="left")
-    large = counts > EXACT_UP_TO
-    if large.any():
-        mean = counts[large].astype(float)[:, None]
-        second = _draws(coefs[large], 2 * points + 1)
-        z = np.sqrt(-2.0 * np.log(first[large])) * np.cos(2.0 * math.pi * second)
-        weights[large] = np.maximum(0.0, np.floor(mean + z * np.sqrt(mean) + (z * z - 1.0) / 6.0 + 0.5))
+        start, steps = poisson_steps(int(size))
+        weights[mine] = start + np.searchsorted(steps, first[mine], side="left")
     return weights
 
 
@@ -133,7 +131,8 @@ def score_bootstrap(df: DataFrame, groups: Sequence[str] = (), reps: int = 1000,
     """
     groups = list(groups)
     guess = (F.col(score) >= decide_at).cast("int") if decide_at is not None else F.col(predicted)
-    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
+    known = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull()
+    rows = df.where(known).select(
         *groups, F.col(score).cast("double").alias("threshold"), F.col(label).cast("int").alias("t"),
         (guess == F.col(label)).cast("int").alias("hit"))
     cells = rows.groupBy(*groups, "threshold", "t", "hit").agg(F.count(F.lit(1)).alias("c"))

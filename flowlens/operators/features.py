@@ -66,8 +66,8 @@ def impute_modes(df: DataFrame, modes: DataFrame, columns: Sequence[str]) -> Dat
 
 
 def fit_scales(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Population standard deviation per column, ``feature, scale``; 1 for a constant column."""
-    wide = train.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in columns])
+    """Population standard deviation of the finite values per column, ``feature, scale``; 1 for a constant column."""
+    wide = train.agg(*[F.stddev_pop(finite(F.col(c).cast("double"))).alias(c) for c in columns])
     long = wide.unpivot([], list(columns), "feature", "scale")
     return long.select("feature", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0).alias("scale"))
 

@@ -36,12 +36,15 @@ def directional_flows(packets: DataFrame) -> DataFrame:
 
 
 def window_packets(packets: DataFrame) -> DataFrame:
-    """Usable packets of any protocol with a numeric port (0 if there is none)."""
+    """Usable packets of any protocol with a numeric port (0 if there is none; ``443.0`` is 443)."""
     ready = usable_packets(packet_endpoints(packets))
+
+    def port(name: str) -> Column:
+        number = finite(F.col(name).try_cast("double"))
+        return F.coalesce(number.try_cast("bigint"), F.lit(0)).cast("string").alias(name)
+
     return ready.select(
-        F.col("protocol").alias("proto"), "saddr",
-        F.coalesce(F.col("sport").try_cast("int"), F.lit(0)).cast("string").alias("sport"), "daddr",
-        F.coalesce(F.col("dport").try_cast("int"), F.lit(0)).cast("string").alias("dport"), "t",
+        F.col("protocol").alias("proto"), "saddr", port("sport"), "daddr", port("dport"), "t",
         F.coalesce("flen", F.lit(0)).alias("flen"))
 
 
@@ -95,9 +98,10 @@ def conversations(packets: DataFrame) -> DataFrame:
         F.lit("OK").alias("state"))
 
 
-# Section headers and line format of a conversation report.
+# Section headers of a conversation report, the arrow between the ends, and what follows them.
 CONVERSATION_HEADERS = {"TCP Conversations": "tcp", "UDP Conversations": "udp"}
-CONVERSATION_LINE = r"(\S+):(\d+)\s+<->\s+(\S+):(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+([\d\.]+)"
+ARROW = "<->"
+CONVERSATION_NUMBERS = ["spkts", "sbytes", "dpkts", "dbytes", "dur"]
 
 
 def parse_conversations(reports: DataFrame, text: str = "value") -> DataFrame:
@@ -108,15 +112,23 @@ def parse_conversations(reports: DataFrame, text: str = "value") -> DataFrame:
     sections = reports.select(F.explode(F.split(F.col(text), r"(?=(?:TCP|UDP) Conversations)")).alias("section"))
     header = F.trim(F.regexp_extract("section", r"^([^\r\n]*)", 1))
     names = F.create_map(*[F.lit(x) for pair in CONVERSATION_HEADERS.items() for x in pair])
-    lines = (sections.select(F.try_element_at(names, header).alias("proto"),
+    words = (sections.select(F.try_element_at(names, header).alias("proto"),
                              F.explode(F.split("section", r"\r?\n")).alias("line"))
-             .where(F.col("proto").isNotNull() & F.col("line").rlike(CONVERSATION_LINE)))
-
-    def part(i: int) -> Column:
-        return F.regexp_extract("line", CONVERSATION_LINE, i)
-
-    return lines.select(
-        part(9).try_cast("double").alias("dur"), "proto", part(1).alias("saddr"), part(2).alias("sport"),
-        part(3).alias("daddr"), part(4).alias("dport"), part(5).cast("bigint").alias("spkts"),
-        part(7).cast("bigint").alias("dpkts"), part(6).cast("bigint").alias("sbytes"),
-        part(8).cast("bigint").alias("dbytes"), F.lit("OK").alias("state"))
+             .where(F.col("proto").isNotNull() & F.contains("line", F.lit(ARROW)))
+             .select("proto", F.split(F.trim("line"), r"\s+").alias("w"))
+             .where((F.size("w") >= 3 + len(CONVERSATION_NUMBERS)) & (F.try_element_at("w", F.lit(2)) == ARROW)))
+
+    def end(i: int) -> Column:
+        """An address and its port; an IPv6 address has colons of its own, so the last one divides."""
+        text = F.col("w")[i]
+        return F.struct(F.substring_index(text, ":", -1).alias("port"),
+                        F.substr(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, ":", -1)) - 1).alias("addr"))
+
+    found = words.select("proto", end(0).alias("src"), end(2).alias("dst"), *[
+        F.col("w")[3 + i].try_cast("double" if name == "dur" else "bigint").alias(name)
+        for i, name in enumerate(CONVERSATION_NUMBERS)])
+    return (found.where(F.col("src.port").try_cast("int").isNotNull() & F.col("dst.port").try_cast("int").isNotNull())
+            .dropna(subset=CONVERSATION_NUMBERS).select(
+        "dur", "proto", F.col("src.addr").alias("saddr"), F.col("src.port").alias("sport"),
+        F.col("dst.addr").alias("daddr"), F.col("dst.port").alias("dport"), "spkts", "dpkts", "sbytes", "dbytes",
+        F.lit("OK").alias("state")))

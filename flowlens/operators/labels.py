@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.functions.cleaning import number_or_zero
 from flowlens.functions.relational import attach, fitted
 
 # The label of harmless traffic, and label families by name prefix.
@@ -24,8 +25,8 @@ def text_label(df: DataFrame, label: str = "Label", into: str = "y_true") -> Dat
 
 
 def numeric_label(df: DataFrame, label: str = "label", into: str = "y_true") -> DataFrame:
-    """1 unless the value is 0, missing or unreadable."""
-    return df.withColumn(into, (F.coalesce(F.col(label).try_cast("double"), F.lit(0.0)) != 0).cast("int"))
+    """1 unless the value is 0, missing or unreadable, ``NaN`` among that. A fraction such as 0.5 counts as 1."""
+    return df.withColumn(into, (number_or_zero(F.col(label)) != 0).cast("int"))
 
 
 def multiclass_label(df: DataFrame, label: str, binary: str | None = None, into: str = "y_true") -> DataFrame:

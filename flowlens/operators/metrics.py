@@ -128,7 +128,8 @@ def summary(curve: DataFrame, groups: Sequence[str] = (), targets: Sequence[floa
             budgets: Sequence[float] = ()) -> DataFrame:
     """All curve metrics of every group in one partially aggregated pass over a score curve."""
     def tag(x: float) -> str:
-        return f"{x:g}".replace("0.", "").ljust(2, "0")
+        """The decimals of a share, two at least: ``95``, ``01``, ``001``; and ``100`` for all."""
+        return "100" if x == 1 else f"{x:.10f}".rstrip("0").partition(".")[2].ljust(2, "0")
 
     picked = curve.groupBy(*groups).agg(
         F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"),
@@ -290,9 +291,14 @@ def threshold_sweep(curve: DataFrame, parts: int = 2000, groups: Sequence[str] =
         F.max(or_zero(ratio(F.col("tp"), F.col("n_pos")))).alias("tpr"))
 
 
+def alarms(score: Column, threshold: Column) -> Column:
+    """1 at or above the threshold. A score that is no number raises no alarm; a missing one stays null."""
+    return ((score >= threshold) & ~F.isnan(score.cast("double"))).cast("int")
+
+
 def decide(df: DataFrame, thresholds: DataFrame, groups: Sequence[str] = (), score: str = "y_score",
            threshold: str = "threshold", predicted: str = "y_pred") -> DataFrame:
     """Rows with ``score >= threshold`` decided by fitted thresholds, one row of them per group."""
     table = fitted(thresholds) if groups else thresholds
     joined = attach(df.drop(predicted), table.select(*groups, threshold), groups)
-    return joined.withColumn(predicted, F.coalesce((F.col(score) >= F.col(threshold)).cast("int"), F.lit(0)))
+    return joined.withColumn(predicted, F.coalesce(alarms(F.col(score), F.col(threshold)), F.lit(0)))

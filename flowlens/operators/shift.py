@@ -20,14 +20,15 @@ from flowlens.schemas import FLOW_NUMERIC, LABEL_COLUMNS
 
 
 def common_columns(ref: DataFrame, tgt: DataFrame) -> tuple[list[str], list[str]]:
-    """Shared feature columns as (numeric, categorical); text on either side makes a column categorical."""
+    """Shared feature columns as (numeric, categorical): numbers and booleans on both sides are numeric, all else (text,
+    dates, times) is categorical."""
     shared = [c for c in ref.columns if c in tgt.columns and c not in LABEL_COLUMNS]
 
-    def textual(df: DataFrame, c: str) -> bool:
-        return isinstance(df.schema[c].dataType, T.StringType)
+    def numeric(df: DataFrame, c: str) -> bool:
+        return isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))
 
-    texts = [c for c in shared if textual(ref, c) or textual(tgt, c)]
-    return [c for c in shared if c not in texts], texts
+    numbers = [c for c in shared if numeric(ref, c) and numeric(tgt, c)]
+    return numbers, [c for c in shared if c not in numbers]
 
 
 def long_numbers(ref: DataFrame, tgt: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -20,8 +20,8 @@ TINY = 1e-12
 
 
 def fixed_decision(df: DataFrame, cut: float = 0.5, score: str = "y_score") -> DataFrame:
-    """Predict 1 at or above ``cut``."""
-    return df.withColumn("y_pred", (F.col(score) >= F.lit(cut)).cast("int"))
+    """Predict 1 at or above ``cut``; a missing score stays undecided, one that is no number is 0."""
+    return df.withColumn("y_pred", M.alarms(F.col(score), F.lit(cut)))
 
 
 def best_f1_on_curve(curve: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
@@ -78,9 +78,19 @@ def kth_negative(budget: float) -> Column:
     return F.coalesce(kth, above_all, F.lit(INF))
 
 
-def kth_negative_thresholds(curve: DataFrame, budgets: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
+def kth_negative_strict(budget: float) -> Column:
+    """As ``kth_negative`` without ever passing the budget: the lowest score with at most k negatives at or above it,
+    or just above the highest score if even that has more; no negatives give +inf."""
+    lowest = F.min(F.when(F.col("fp") <= F.floor(F.lit(float(budget)) * F.col("n_neg")), F.col("threshold")))
+    above_all = F.max("threshold") + F.lit(TINY)
+    return F.when(F.max("n_neg") > 0, F.coalesce(lowest, above_all)).otherwise(F.lit(INF))
+
+
+def kth_negative_thresholds(curve: DataFrame, budgets: Sequence[float], groups: Sequence[str] = (),
+                            strict: bool = False) -> DataFrame:
+    rule = kth_negative_strict if strict else kth_negative
     found = curve.groupBy(*groups).agg(F.array(*[
-        F.struct(F.lit(float(b)).alias("budget"), kth_negative(b).alias("threshold")) for b in budgets]).alias("x"))
+        F.struct(F.lit(float(b)).alias("budget"), rule(b).alias("threshold")) for b in budgets]).alias("x"))
     return found.select(*groups, F.inline("x"))
 
 
@@ -126,15 +136,16 @@ def oriented(df: DataFrame, flip: DataFrame, groups: Sequence[str] = (), score:
 
 def counts_at(df: DataFrame, thresholds: DataFrame, ident: str, score: str = "y_score",
               label: str = "y_true") -> DataFrame:
-    """Confusion counts of all rows at each of a few thresholds, in one pass.
+    """Confusion counts of all scored rows at each of a few thresholds, in one pass.
 
     ``thresholds`` has (``ident``, ``threshold``) and is small by construction (repetitions, budgets). Rows
-    are counted between neighbouring thresholds map-side; sums over those few counts give every answer.
+    are counted between neighbouring thresholds map-side; sums over those few counts give every answer. Rows
+    without a score or a label count nowhere, as in the curves.
     """
     listed = thresholds.agg(F.sort_array(F.collect_set("threshold")).alias("__t"))
     listed = listed.withColumn("__steps", search_steps("__t"))
-    rows = (attach(df.select(score, label), listed, [])
-            .withColumn("__at", position(score, "__t")))
+    rows = (attach(M.scored_rows(df, [], score, label), listed, [])
+            .withColumn("__at", position("threshold", "__t")))
     between = rows.groupBy("__at").agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
@@ -157,8 +168,9 @@ def few_shot(df: DataFrame, k: int = 500, reps: int = 50, seed: int = 7, parts:
     """Per repetition, fit best-F1 on ``k`` sampled rows and test on all others.
 
     The test counts are those of the whole table less those of the sample, so testing costs one pass for
-    all repetitions together.
+    all repetitions together. Rows without a score or a label are neither sampled nor counted.
     """
+    df = M.scored_rows(df, [key], score, label).withColumnRenamed("threshold", score)
     sample = saved(calibration_samples(df.select(key, score, label), k, reps, seed, key))
     curve = M.score_curve(sample, ["rep"], score=score, label=label)
     chosen = best_f1_on_grid(curve, parts, ["rep"]).select("rep", "threshold")
@@ -212,9 +224,11 @@ def single_shot(df: DataFrame, fraction: float = 0.2, seed: int = 7, budgets: Se
     rows = oriented(test, fit, score=score)
     rows = attach(rows, fit.select(*limits.columns), [])
     decided = fixed_decision(rows, score=score).withColumns({
-        f"y_pred_{_percent(b)}": (F.col(score) >= F.col(f"threshold_{_percent(b)}")).cast("int") for b in budgets})
+        f"y_pred_{_percent(b)}": M.alarms(F.col(score), F.col(f"threshold_{_percent(b)}")) for b in budgets})
     return fit, decided.drop(*limits.columns)
 
 
 def _percent(budget: float) -> str:
-    return f"fpr{round(budget * 100):02d}"
+    """A name of its own for every budget: ``fpr05`` for whole percents, ``fpr00_4`` for four in a thousand."""
+    whole, _, rest = f"{budget * 100:.10f}".rstrip("0").partition(".")
+    return f"fpr{int(whole):02d}" + (f"_{rest}" if rest else "")

@@ -584,22 +584,20 @@ def _(spark, d):
 
 # --- bootstrap ----------------------------------------------------------------------------------------
 
-def _steps_sql() -> str:
-    return "[" + ", ".join("[" + ", ".join(repr(x) + "::DOUBLE" for x in B.poisson_steps(m)) + "]"
-                           for m in range(1, B.EXACT_UP_TO + 1)) + "]"
-
-
 def weights_sql(name: str, cells: str, key: str, reps: int) -> str:
     """Poisson weights ``w`` of ``cells`` (count ``c``) for each ``rep``; ``key`` is the text a cell is hashed by."""
     def cubic(point: str) -> str:
         return f"((((((a[4] * ({point}) + a[3]) % 2147483647) * ({point}) + a[2]) % 2147483647) * ({point}) + a[1]) % 2147483647 + 0.5e0) / 2147483647"
     return f"""{name}_c AS (SELECT *, list_transform([0, 1, 2, 3],
   lambda i: ('0x' || substr(md5({key}), 1 + 8 * i, 8))::BIGINT % 2147483647) AS a FROM {cells}),
-{name}_u AS (SELECT * EXCLUDE (a), {cubic('2 * rep')} AS u1, {cubic('2 * rep + 1')} AS u2 FROM {name}_c, range(1, {reps + 1}) t(rep)),
-{name}_z AS (SELECT *, sqrt(-2.0e0 * ln(u1)) * cos(2.0e0 * pi() * u2) AS z FROM {name}_u),
-{name} AS (SELECT * EXCLUDE (u1, u2, z), CASE WHEN c <= {B.EXACT_UP_TO}
-  THEN len(list_filter(({_steps_sql()})[c], lambda x: x < u1))
-  ELSE greatest(0, floor(c + z * sqrt(c) + (z * z - 1) / 6.0e0 + 0.5e0)) END::DOUBLE AS w FROM {name}_z)"""
+{name}_u AS (SELECT * EXCLUDE (a), {cubic('2 * rep')} AS u1 FROM {name}_c, range(1, {reps + 1}) t(rep)),
+{name}_m AS (SELECT DISTINCT c FROM {name}_c),
+{name}_k AS (SELECT c, unnest(range(greatest(0, c - 12 * ceil(sqrt(c))::BIGINT - 12), c + 12 * ceil(sqrt(c))::BIGINT + 13)) AS k FROM {name}_m),
+{name}_p AS (SELECT c, k, exp(k * ln(c) - c - lgamma(k + 1)) AS p FROM {name}_k),
+{name}_s AS (SELECT c, k, sum(p) OVER (PARTITION BY c ORDER BY k) / sum(p) OVER (PARTITION BY c) AS s FROM {name}_p),
+{name}_l AS (SELECT c, min(k) AS k0, list(s ORDER BY k) AS steps FROM {name}_s GROUP BY c),
+{name} AS (SELECT {name}_u.* EXCLUDE (u1), (k0 + len(list_filter(steps, lambda x: x < u1)))::DOUBLE AS w
+  FROM {name}_u JOIN {name}_l USING (c))"""
 
 
 CI_SQL = """SELECT {lead}metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low,

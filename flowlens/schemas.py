@@ -51,7 +51,7 @@ FEATURE_SETS = {
 
 # Identifier and leakage columns, by kind of table.
 LEAKAGE_COLUMNS = {
-    "benchmark": ["id", "srcip", "dstip", "stime", "ltime"],
+    "benchmark": ["id", "ID", "srcip", "dstip", "stime", "ltime"],
     "day": ["Flow ID", "FlowID", "Source IP", "Src IP", "srcip", "src_ip", "Destination IP", "Dst IP",
             "dstip", "dst_ip", "Timestamp", "TimeStamp", "time", "timestamp"],
     "day_model": ["Flow ID", "Timestamp", "Src IP", "Dst IP", "Source IP", "Destination IP",

@@ -68,7 +68,7 @@ def with_phase(df: DataFrame, names: Sequence[str] = PHASE_NAMES, file_name: str
     pattern = phase_pattern(names)
     return (df.where(F.col(file_name).rlike(pattern))
             .withColumns({"attack_type": F.regexp_extract(file_name, pattern, 1),
-                          "rep": F.regexp_extract(file_name, pattern, 2).cast("int")}))
+                          "rep": F.regexp_extract(file_name, pattern, 2).try_cast("bigint")}))
 
 
 def with_day(df: DataFrame, file_name: str = "file_name") -> DataFrame:
