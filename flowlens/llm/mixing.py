@@ -90,7 +90,7 @@ def _plan(docs: DataFrame) -> DataFrame:
     nearest = (F.col("wanted") - (F.col("upto") - F.col("size"))) * 2 >= F.col("size")
     inside = inside.withColumn("drawn", nearest & (F.col("size") > 0))
     outside = rows.where(~F.coalesce(bucket == F.col("cut"), F.lit(False))).withColumn(
-        "drawn", F.coalesce(bucket < F.col("cut"), F.lit(False)))
+        "drawn", F.coalesce(bucket < F.col("cut"), F.lit(False)) & (F.col("size") > 0))
     done = ["doc_id", "tie", "source", "size", "source_size", "target", "certain", "wanted", "drawn"]
     drawn = saved(inside.select(*done).unionByName(outside.select(*done)), "mix-drawn")
     # A very long document at the cut leaves a gap: the one document whose size fits it best is drawn or undrawn.
