@@ -93,7 +93,7 @@ class QualityModel:
             return out
         for a, b in batches(texts):
             f = Features(texts[a:b], self.bits)
-            total = np.bincount(f.owner, self.parts[f.words], b - a)
+            total = np.bincount(f.owner, self.parts[f.words], b - a).astype(float)
             number = np.bincount(f.owner, minlength=b - a) + len(f.grams) * f.chars.lengths
             for g in f.grams:
                 total += f.chars.sums(self.parts[g])
