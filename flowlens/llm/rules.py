@@ -92,9 +92,15 @@ def cascade_order(texts: list[str], rules: dict[str, Rule] | None = None) -> lis
 
 
 def sample_order(docs: DataFrame, size: int = SAMPLE) -> list[str]:
-    """The order of rules measured on at most ``size`` texts, the first by hash."""
-    rows = docs.select("text").where(F.col("text").isNotNull()).orderBy(F.xxhash64("text", F.lit(5))).limit(size)
-    return cascade_order([r.text for r in rows.collect()])
+    """The order of rules measured on at most ``size`` texts, the first by hash of doc_id.
+
+    Only hashes are ordered, so that tasks send whole texts to the driver for the sample alone.
+    """
+    known = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", F.lit(5)).alias("h"), "text")
+    last = known.select("h").orderBy("h").limit(size).agg(F.max("h")).first()[0]
+    if last is None:
+        return cascade_order([])
+    return cascade_order([r.text for r in known.where(F.col("h") <= last).select("text").limit(size).collect()])
 
 
 def judge(docs: DataFrame, order: list[str]) -> DataFrame:
