@@ -184,40 +184,40 @@ def repeated_windows(docs: DataFrame, rows: DataFrame, window: int = WINDOW,
     texts = saved(own.join(wanted, (F.col("of") == F.col("doc_id")) & (F.col("like") == F.col("mark")))
                   .select("doc_id", "tag", "text", "few", "many"), "substrings-texts")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts, few, many = list(f.text), list(f.few), list(f.many)
-            for a, words, starts, hashes, anchors in scan(texts, window, limits):
-                cuts, anchors = np.searchsorted(starts, words.offsets), signed(anchors)
-                kind = np.zeros(len(anchors), np.int8)
-                for i, (low, high) in enumerate(zip(cuts, cuts[1:])):
-                    kind[low:high] = np.where(np.isin(anchors[low:high], many[a + i]), 2,
-                                              np.isin(anchors[low:high], few[a + i]))
-                # A block: neighbouring windows of one anchor in one text, BLOCK at most.
-                owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-                change = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])])
-                                        if len(anchors) else [])
-                since = np.arange(len(anchors)) - np.repeat(change, np.diff(np.append(change, len(anchors))))
-                first = np.flatnonzero(since % BLOCK == 0)
-                last = np.append(first[1:], len(anchors))
-                wanted = kind[first] > 0
-                first, last, hashes = first[wanted], last[wanted], signed(hashes)
-                rows = a + owner[first]
-                yield pd.DataFrame({
-                    "anchor": anchors[first], "many": kind[first] == 2, "doc_id": f.doc_id.to_numpy()[rows],
-                    "tag": f.tag.to_numpy()[rows], "at": (starts[first] - words.offsets[owner[first]]).astype(np.int32),
-                    "hashes": [hashes[x:y] for x, y in zip(first, last)]})
-
-    blocks = saved(texts.mapInPandas(
-        run, "anchor long, many boolean, doc_id long, tag int, at int, hashes array<long>"), "substrings-blocks")
+    def blocks(column: str) -> DataFrame:
+        """The blocks of the anchors in ``column``: neighbouring windows of one anchor in one text, BLOCK at most."""
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                texts, wanted = list(f.text), list(f.wanted)
+                for a, words, starts, hashes, anchors in scan(texts, window, limits):
+                    cuts, anchors = np.searchsorted(starts, words.offsets), signed(anchors)
+                    asked = np.zeros(len(anchors), bool)
+                    for i, (low, high) in enumerate(zip(cuts, cuts[1:])):
+                        asked[low:high] = np.isin(anchors[low:high], wanted[a + i])
+                    owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+                    change = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1])
+                                                            | (owner[1:] != owner[:-1])]) if len(anchors) else [])
+                    since = np.arange(len(anchors)) - np.repeat(change, np.diff(np.append(change, len(anchors))))
+                    first = np.flatnonzero(since % BLOCK == 0)
+                    last = np.append(first[1:], len(anchors))
+                    first, last, hashes = first[asked[first]], last[asked[first]], signed(hashes)
+                    rows = a + owner[first]
+                    yield pd.DataFrame({
+                        "anchor": anchors[first], "doc_id": f.doc_id.to_numpy()[rows], "tag": f.tag.to_numpy()[rows],
+                        "at": (starts[first] - words.offsets[owner[first]]).astype(np.int32),
+                        "hashes": [hashes[x:y] for x, y in zip(first, last)]})
+
+        return texts.where(F.size(column) > 0).select("doc_id", "tag", "text", F.col(column).alias("wanted")).mapInPandas(
+            run, "anchor long, doc_id long, tag int, at int, hashes array<long>")
+
     # Of an anchor with few occurrences all blocks meet in one task, and their windows are compared there.
-    few = (blocks.where(~F.col("many")).drop("many").repartition("anchor")
+    few = (blocks("few").repartition("anchor")
            .select("anchor", "doc_id", "tag", "at", F.posexplode("hashes").alias("k", "hash"))
            .withColumn("low", F.min("doc_id").over(Window.partitionBy("anchor", "hash")))
            .where("doc_id > low").groupBy("anchor", "doc_id", "tag", "at")
            .agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask")).drop("anchor"))
     # Of one with many the smallest doc_id of each window is aggregated first and joined, which a hot window can't stop.
-    each = blocks.where("many").select("anchor", "doc_id", "tag", "at", F.posexplode("hashes").alias("k", "hash"))
+    each = saved(blocks("many"), "substrings-blocks").select("anchor", "doc_id", "tag", "at", F.posexplode("hashes").alias("k", "hash"))
     first = each.groupBy("anchor", "hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where(
         "low < high").drop("high")
     many = (each.join(first, ["anchor", "hash"]).where("doc_id > low").groupBy("doc_id", "tag", "at")

@@ -410,8 +410,10 @@ def passages(seed, vocabulary):
     return docs + [(60, docs[3][1]), (61, docs[3][1] + " end")]
 
 
-@pytest.mark.parametrize("seed,vocabulary", [(1, 2000), (2, 2), (3, 1), (4, 30)])
-def test_removals_match_brute_force(spark, seed, vocabulary):
+@pytest.mark.parametrize("seed,vocabulary,few", [
+    (1, 2000, substrings.FEW), (2, 2, substrings.FEW), (3, 1, 8), (4, 30, substrings.FEW), (5, 2000, 8), (6, 2, 0)])
+def test_removals_match_brute_force(spark, monkeypatch, seed, vocabulary, few):
+    monkeypatch.setattr(substrings, "FEW", few)
     docs = passages(seed, vocabulary)
     found = substrings.removals(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == brute_removals(docs)
