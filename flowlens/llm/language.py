@@ -133,7 +133,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS) ->
     frequencies, texts = document_frequencies(known, bits)
     share = known.groupBy("lang").count().select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share"))
     unit = (F.xxhash64("doc_id", F.lit(23)) / F.lit(2.0**64)) + 0.5
-    sample = (known.join(share, "lang").where(unit < F.col("share"))
+    # One row for each language, of which the model holds a column of weights: small by construction.
+    sample = (known.join(F.broadcast(share), "lang").where(unit < F.col("share"))
               .select("doc_id", "text", "lang", fold(F.col("doc_id")).alias("fold")).toPandas())
     return LanguageModel(sample.sort_values(["doc_id", "text"], ignore_index=True), frequencies, texts, bits)
 
