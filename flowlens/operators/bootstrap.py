@@ -139,7 +139,9 @@ def score_bootstrap(df: DataFrame, groups: Sequence[str] = (), reps: int = 1000,
     borders = splitters(rows.select(*groups, "threshold"), groups, "threshold", rows_per_bucket)
     drawn = _with_coefficients(bucketed(cells, groups, "threshold", borders), [*groups, "threshold", "t", "hit"], seed)
 
-    totals = cell_totals(drawn, [*groups, "__bucket", "t", "hit"], "c", reps)
+    # Cells of one bucket lie together, so that a block of cells sums to rows of few buckets before it leaves the task.
+    together = drawn.repartition(*groups, "__bucket").sortWithinPartitions(*groups, "__bucket", "t", "hit")
+    totals = cell_totals(together, [*groups, "__bucket", "t", "hit"], "c", reps)
     per_bucket = totals.groupBy(*groups, "rep", "__bucket").agg(
         F.sum(F.when(F.col("t") == 1, F.col("w")).otherwise(0.0)).alias("pos"),
         F.sum(F.when(F.col("t") == 1, 0.0).otherwise(F.col("w"))).alias("neg"),

@@ -296,7 +296,7 @@ FEW_SHOT_SQL = """, coefs AS (SELECT row_id, y_true, y_score,
   list_transform([0, 1, 2, 3], lambda i: ('0x' || substr(md5('7:' || row_id), 1 + 8 * i, 8))::BIGINT % 2147483647) AS c FROM scored),
 drawn AS (SELECT rep, row_id, y_true, y_score,
   (((((c[4] * rep + c[3]) % 2147483647) * rep + c[2]) % 2147483647) * rep + c[1]) % 2147483647 AS u
-  FROM coefs, range(1, 21) t(rep)),
+  FROM coefs, range(1, 51) t(rep)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY u, row_id) AS i FROM drawn),
 cal AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY y_score) - 1 AS rn, count(*) OVER (PARTITION BY rep) AS n,
   sum(y_true) OVER (PARTITION BY rep) AS n_pos FROM ranked WHERE i <= 500),
@@ -318,7 +318,7 @@ results AS (SELECT rep, threshold, coalesce(2.0e0 * tp / nullif(2 * tp + fp + fn
 @query("th_9_few_shot", FEW_SHOT_SQL + """SELECT CAST(rep AS INTEGER) AS rep, round(threshold, 9) AS threshold, round(f1, 6) AS f1,
   round(precision, 6) AS precision, round(recall, 6) AS recall FROM results""", "scored")
 def _(spark, d):
-    found = TH.few_shot(V.scored(spark, d), k=500, reps=20)
+    found = TH.few_shot(V.scored(spark, d), k=500, reps=50)
     return found.select("rep", F.round("threshold", 9).alias("threshold"),
                         *[F.round(c, 6).alias(c) for c in ("f1", "precision", "recall")])
 
@@ -327,7 +327,7 @@ def _(spark, d):
   round(stddev_pop(f1), 6) AS f1_std, round(avg(precision), 6) AS precision_mean, round(stddev_pop(precision), 6) AS precision_std,
   round(avg(recall), 6) AS recall_mean, round(stddev_pop(recall), 6) AS recall_std FROM results""", "scored")
 def _(spark, d):
-    return rounded(TH.few_shot_summary(TH.few_shot(V.scored(spark, d), k=500, reps=20)))
+    return rounded(TH.few_shot_summary(TH.few_shot(V.scored(spark, d), k=500, reps=50)))
 
 
 FLIPPED_CURVE = """down AS (SELECT y_score, pos, pos_up / (pos_up + neg_up)::DOUBLE AS precision, n_pos FROM (
@@ -470,7 +470,7 @@ def _(spark, d):
 
 @query("sp_9_calibration_samples", FEW_SHOT_SQL + "SELECT CAST(rep AS INTEGER) AS rep, row_id FROM cal", "scored")
 def _(spark, d):
-    return SP.calibration_samples(V.scored(spark, d), 500, 20).select("rep", "row_id")
+    return SP.calibration_samples(V.scored(spark, d), 500, 50).select("rep", "row_id")
 
 
 @query("sp_10_subsample", """SELECT row_id, round(y_score, 6) AS y_score FROM scored ORDER BY md5('7:' || row_id), row_id LIMIT 1000""",
@@ -623,19 +623,19 @@ per_rep AS (SELECT {lead}rep, coalesce(sum(pos * tp / nullif(tp + fp, 0)) / null
 SCORE_METRICS = ["pr_auc", "fpr95", "accuracy"]
 
 
-@query("ci_1_score_bootstrap", score_ci_sql("scored", "y_true = y_pred", 200), "scored")
+@query("ci_1_score_bootstrap", score_ci_sql("scored", "y_true = y_pred", 1000), "scored")
 def _(spark, d):
-    return rounded(B.intervals(B.score_bootstrap(V.scored(spark, d), reps=200), SCORE_METRICS))
+    return rounded(B.intervals(B.score_bootstrap(V.scored(spark, d), reps=1000), SCORE_METRICS))
 
 
-@query("ci_1_score_bootstrap_fine", score_ci_sql("scored_fine", "y_true = y_pred", 50), "scored_fine")
+@query("ci_1_score_bootstrap_fine", score_ci_sql("scored_fine", "y_true = y_pred", 1000), "scored_fine")
 def _(spark, d):
-    return rounded(B.intervals(B.score_bootstrap(V.scored_fine(spark, d), reps=50), SCORE_METRICS))
+    return rounded(B.intervals(B.score_bootstrap(V.scored_fine(spark, d), reps=1000), SCORE_METRICS))
 
 
-@query("ci_2_score_bootstrap_strict", score_ci_sql("scored", "y_true = (y_score >= 0.5e0)::INT", 200), "scored")
+@query("ci_2_score_bootstrap_strict", score_ci_sql("scored", "y_true = (y_score >= 0.5e0)::INT", 2000), "scored")
 def _(spark, d):
-    per_rep = B.score_bootstrap(V.scored(spark, d), reps=200, decide_at=0.5)
+    per_rep = B.score_bootstrap(V.scored(spark, d), reps=2000, decide_at=0.5)
     return rounded(B.intervals(per_rep, SCORE_METRICS, undefined="propagate"))
 
 
@@ -654,7 +654,7 @@ def _(spark, d):
     return rounded(B.intervals(B.decision_bootstrap(V.scored(spark, d), reps=2000), DECISION_METRICS))
 
 
-@query("ci_4_per_profile", score_ci_sql("scored", "y_true = y_pred", 100, "profile"), "scored")
+@query("ci_4_per_profile", score_ci_sql("scored", "y_true = y_pred", 1000, "profile"), "scored")
 def _(spark, d):
-    per_rep = B.score_bootstrap(V.scored(spark, d), ["profile"], reps=100)
+    per_rep = B.score_bootstrap(V.scored(spark, d), ["profile"], reps=1000)
     return rounded(B.intervals(per_rep, SCORE_METRICS, ["profile"]))

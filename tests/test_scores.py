@@ -12,6 +12,9 @@ from flowlens.operators import ordered as O
 from flowlens.operators import slices as SL
 from flowlens.operators import splits as SP
 from flowlens.operators import thresholds as TH
+from flowlens.plans import views as V
+from flowlens.plans.catalog import QUERIES
+from flowlens.plans.registry import rounded
 
 HAND = [(0.9, 1), (0.8, 0), (0.7, 1), (0.7, 0), (0.3, 1), (0.1, 0)]
 SCHEMA = "row_id bigint, y_score double, y_true int"
@@ -241,3 +244,24 @@ def test_undefined_repetitions(spark):
     per_rep = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.7)], "rep int, fpr95 double")
     assert B.intervals(per_rep, ["fpr95"]).first()["mean"] == pytest.approx(0.6)
     assert B.intervals(per_rep, ["fpr95"], undefined="propagate").first()["mean"] is None
+
+
+@pytest.mark.parametrize("name,view,reps,groups,options", [
+    ("ci_1_score_bootstrap", V.scored, 1000, [], {}), ("ci_1_score_bootstrap_fine", V.scored_fine, 1000, [], {}),
+    ("ci_2_score_bootstrap_strict", V.scored, 2000, [], {"decide_at": 0.5}),
+    ("ci_4_per_profile", V.scored, 1000, ["profile"], {})])
+def test_registered_bootstraps_have_the_full_number_of_resamples(spark, name, view, reps, groups, options):
+    folder = "/root/testdata/sf0.001"
+    per_rep = B.score_bootstrap(view(spark, folder), groups, reps=reps, **options).cache()
+    assert {r["count"] for r in per_rep.groupBy(*groups).count().collect()} == {reps}
+    undefined = "propagate" if "decide_at" in options else "skip"
+    full = rounded(B.intervals(per_rep, ["pr_auc", "fpr95", "accuracy"], groups, undefined))
+    assert sorted(QUERIES[name](spark, folder).collect()) == sorted(full.collect())
+
+
+def test_registered_few_shot_has_fifty_repetitions(spark):
+    folder = "/root/testdata/sf0.001"
+    assert {r.rep for r in QUERIES["th_9_few_shot"](spark, folder).collect()} == set(range(1, 51))
+    assert QUERIES["th_9_few_shot_summary"](spark, folder).first().reps == 50
+    sizes = QUERIES["sp_9_calibration_samples"](spark, folder).groupBy("rep").count().collect()
+    assert {(r.rep, r["count"]) for r in sizes} == {(i, 500) for i in range(1, 51)}
