@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.session import scratch_path
@@ -46,6 +46,40 @@ def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
     return out
 
 
+def fresh(taken: list[str], *wanted: str) -> list[str]:
+    """Names like ``wanted`` for columns on the way, none of which ``taken`` has (in any case of letters)."""
+    low = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        name = f"__{name}"
+        while name in low:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def positions(rows: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """``rows`` with ``name``, their place from 0 in the global ``order``, which is saved.
+
+    Rows are saved with a number of their own, which comes last in the order: it makes the order total, whatever rows
+    are equal, and lets range partitioning cut groups of equal rows. Then the rows of each range partition are counted
+    as they are saved, and the counts of the partitions before, one row for each partition, are added.
+    """
+    tie, number = fresh(rows.columns, "tie", "number")
+    own = saved(rows.withColumn(tie, F.monotonically_increasing_id()), "rows")
+    keys = [*order, F.col(tie)]
+    ordered = saved(own.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(tie)
+                    .withColumn(number, F.monotonically_increasing_id()), "ordered")
+    # A monotonically increasing id is the partition's number above 33 bits, the row's place in the partition below.
+    part, inside = F.shiftright(number, 33), F.col(number).bitwiseAND(F.lit((1 << 33) - 1))
+    start, of = fresh([*rows.columns, number], "start", "of")
+    before = Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    counts = ordered.groupBy(part.alias(of)).agg(F.count(F.lit(1)).alias(start))
+    starts = counts.select(of, F.coalesce(F.sum(start).over(before), F.lit(0)).alias(start))
+    return (ordered.join(F.broadcast(starts), part == F.col(of))
+            .withColumn(name, inside + F.col(start)).drop(of, start, number))
+
+
 def fold(key: Column) -> Column:
     """crc32 of the key as text, modulo 5; null for a null key."""
     return F.crc32(key.cast("string")) % FOLDS

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, jaccard, language, mixing, quality, rules, substrings, topk, toxicity, warc
+from flowlens.llm import (bpe, jaccard, language, lexical, mixing, quality, resample, rules, sharding, substrings, topk,
+                          toxicity, warc)
 from flowlens.llm.base import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -61,12 +62,36 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.sample_order(docs)).drop("rejected_by")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", (sharding.text_bytes() + 8).alias("size"), sharding.text_crc32().alias("text_crc32"))
+    return sharding.interleaved(rows, content=("text_crc32", "size")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_toxicity, op2_language, op3_quality, op4_jaccard_join, op5_top_k, op6_mixing, op7_warc, op8_bpe,
-    op9_substrings, op10_rules)}
+    op9_substrings, op10_rules, op11_sharding, op12_resampling, op13_search)}
 
 WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
+#: The words of a column, A-Z alone lower-cased; crc32's table of a byte's eight steps, and crc32 of a blob by it.
+WORDS12 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORDS13 = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+TERMS = ("regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')")
+CRC_TABLE = ("list_transform(range(256), lambda i: list_reduce(range(8), "
+             "lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), i))")
+CRC32 = ("xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex({}), '..'), lambda x: CAST('0x' || x AS BIGINT)), "
+         "lambda c, b: xor(c >> 8, crc_table[1 + (xor(c, b) & 255)]), 4294967295))")
+
 ORACLES: dict[str, str] = {
     "op4_jaccard_join": rf"""
 WITH RECURSIVE d AS (
@@ -162,4 +187,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND 10 * len(regexp_extract_all(t || ' ', '!!([\x20\x09-\x0D])')) <= n_words
        AND length(regexp_replace(t, '[^A-Z]', '', 'g')) <= length(regexp_replace(t, '[^a-z]', '', 'g')) AS kept
 FROM f""",
+    # crc32 by a table of 256 steps, worked out here, over the bytes of the text.
+    "op11_sharding": rf"""
+WITH t AS (SELECT {CRC_TABLE} AS crc_table),
+d AS (SELECT doc_id, source, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) + 8 AS size,
+             {CRC32.format("encode(coalesce(text, ''))")} AS text_crc32 FROM documents, t),
+h AS (SELECT *, md5(concat_ws(':', '11', CAST(doc_id AS VARCHAR), text_crc32, size)) AS h,
+             (CAST('0x' || substr(md5(concat_ws(':', '11', source)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, text_crc32, size) - 1 AS place,
+             count(*) OVER (PARTITION BY source) AS n FROM h),
+p AS (SELECT *, row_number() OVER (ORDER BY (place + u) / n, source NULLS FIRST, place) - 1 AS pos, count(*) OVER () AS total FROM r),
+s AS (SELECT *, pos * 24 // total AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, pos - (shard * total + 23) // 24 AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard FROM s""",
+    "op12_resampling": rf"""
+WITH t AS (SELECT {CRC_TABLE} AS crc_table),
+d AS (SELECT doc_id, {TERMS.format("text", WORDS12)} AS w FROM documents),
+f AS (SELECT doc_id, unnest(w) AS word FROM d),
+g AS (SELECT unnest({TERMS.format("text", WORDS12)}) AS word FROM benchmark),
+b AS (SELECT word, {CRC32.format("encode(word)")} % 10000 AS bucket FROM (SELECT word FROM f UNION SELECT word FROM g), t),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN b USING (word) GROUP BY bucket),
+q AS (SELECT bucket, count(*) AS t FROM g JOIN b USING (word) GROUP BY bucket),
+a AS (SELECT CAST((SELECT count(*) FROM f) AS DOUBLE) AS s_all, CAST((SELECT count(*) FROM g) AS DOUBLE) AS t_all),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (s_all + 10000)
+                / ((coalesce(s, 0) + 1.0::DOUBLE) * (t_all + 10000)))) AS BIGINT) AS gain
+         FROM (SELECT DISTINCT bucket FROM b) LEFT JOIN s USING (bucket) LEFT JOIN q USING (bucket), a),
+x AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN b USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+y AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+             CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN x USING (doc_id)),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM y),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+             count(*) OVER (PARTITION BY n_features >= 20) AS able FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM r""",
+    "op13_search": rf"""
+WITH d AS (SELECT doc_id, {TERMS.format("text", WORDS13)} AS w FROM documents),
+i AS (SELECT DISTINCT item_id, unnest({TERMS.format("text", WORDS13)}) AS term FROM benchmark),
+a AS (SELECT count(*) AS documents, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, len(w) AS n, term, count(*) AS tf
+      FROM (SELECT doc_id, w, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+      FROM p, a GROUP BY term, documents),
+c AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + 50 * n * documents // terms)))) AS BIGINT) AS score
+      FROM i JOIN p USING (term) JOIN f USING (term), a GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50""",
 }
