@@ -6,7 +6,7 @@ its new neighbours are queued, and entries whose symbols have changed since are
 vocabulary's strings and reads them as UTF-8.
 
 Null text is encoded as empty. Repeated rows get equal results; further columns are ignored. Texts are taken whole;
-pieces already seen are remembered per Python worker, up to a fixed number, which changes only the time.
+pieces already seen are remembered per task, up to a fixed number, which changes only the time.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-REMEMBERED = 400_000
+#: Strings whose ids a worker remembers, four times over (pieces and words, new and old): some 20 MB.
+REMEMBERED = 25_000
 
 #: White space as Unicode defines it, which leaves out the separators 1C to 1F.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -41,6 +43,9 @@ class Memory:
         self.new: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        self.new, self.old = {}, {}
+
     def miss(self, key: str) -> tuple[int, ...]:
         value = self.old.get(key) or self.function(key)
         if len(key) <= 64:
@@ -146,18 +151,29 @@ class Bpe:
         return b"".join([strings[i] for i in ids]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> Bpe:
-    """One per Python worker, so that its memory of pieces serves all its tasks."""
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> Bpe:
+    """The tables, once for each Python worker."""
     return Bpe(path)
 
 
+@contextmanager
+def tokenizer(path: str) -> Iterator[Bpe]:
+    """For one task; what it has remembered goes with it, as workers live on for other work."""
+    bpe = _loaded(path)
+    try:
+        yield bpe
+    finally:
+        bpe.pieces.forget()
+        bpe.words.forget()
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids of every row. ``path``: the vocabulary file, at the same place on every machine."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = tokenizer(path)
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f.doc_id, "ids": [bpe.encode(t) for t in f.text]})
+        with tokenizer(path) as bpe:
+            for f in frames:
+                yield pd.DataFrame({"doc_id": f.doc_id, "ids": [bpe.encode(t) for t in f.text]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
 
@@ -165,9 +181,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text from doc_id and ids; null ids give empty text."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = tokenizer(path)
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f.doc_id, "text": [bpe.decode([] if i is None else i) for i in f.ids]})
+        with tokenizer(path) as bpe:
+            for f in frames:
+                yield pd.DataFrame({"doc_id": f.doc_id, "text": [bpe.decode([] if i is None else i) for i in f.ids]})
 
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
 
@@ -175,17 +191,17 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded, its ids decoded again, in one pass."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = tokenizer(path)
-        for f in frames:
-            rows = []
-            for text in f.text:
-                ids = bpe.encode(text)
-                shown = bpe.texts
-                rows.append((len(ids), hashlib.sha256(",".join([shown[i] for i in ids]).encode()).hexdigest(),
-                             hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", f.doc_id.to_numpy())
-            yield out
+        with tokenizer(path) as bpe:
+            for f in frames:
+                rows = []
+                for text in f.text:
+                    ids = bpe.encode(text)
+                    shown = bpe.texts
+                    rows.append((len(ids), hashlib.sha256(",".join([shown[i] for i in ids]).encode()).hexdigest(),
+                                 hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
+                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                out.insert(0, "doc_id", f.doc_id.to_numpy())
+                yield out
 
     return docs.select("doc_id", "text").mapInPandas(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
