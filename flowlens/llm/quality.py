@@ -26,6 +26,8 @@ SIZES = (3, 4)
 PER_CLASS = 1500
 DIMENSIONS = 16
 EPOCHS = 3
+#: Few texts are gone through oftener, up to this number of steps, so that little data is not learnt too little from.
+STEPS = 9000
 THRESHOLD = 0.3
 
 
@@ -66,6 +68,7 @@ class QualityModel:
         random = np.random.default_rng(11)
         vectors = random.uniform(-1, 1, (1 << bits, dimensions)).astype(np.float32) / dimensions
         output, bias = np.zeros((dimensions, 2), np.float32), np.zeros(2, np.float32)
+        epochs = max(epochs, -(-STEPS // max(1, len(data))))
         step, steps = 0, epochs * len(data)
         for _ in range(epochs):
             for i in random.permutation(len(data)):
