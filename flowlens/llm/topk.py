@@ -9,14 +9,18 @@ Queries and candidates meet as blocks: candidates are dealt into groups of about
 blocks of about QUERIES, and each pair of blocks is one group of rows in a task. A block is bounded by construction,
 whatever the number of vectors; each returns its k best, and the k best of those are the result.
 
-Vectors that are null or hold null, NaN or infinite components take no part, neither do empty ones; nor null vec_ids.
+Vectors that are null or hold null, NaN or infinite components take no part, nor do null vec_ids. Every other vector
+does: where products pass what doubles and longs hold, they are worked out in whole numbers of any size, and a score
+beyond a long's ends is that end (and ties there go to the smaller vec_id). Empty vectors score 0 with each other.
 Vectors of another length than the query are no candidates for it. Rows that repeat a vec_id are candidates each; a
-repeated query gives its result once for each distinct vector, ranked apart (rows equal in all are one query). Products
-must fit a long. Further columns are ignored.
+repeated query gives its result once for each distinct vector, ranked apart (rows equal in all are one query).
+Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -28,14 +32,31 @@ SCALE = 64
 BLOCK = 16
 K = 20
 EXACT = 2**53
+#: Largest components whose products of up to a million dimensions stay within a long.
+PLAIN = 2.0**15
 
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id and v, the vector as whole numbers, of the rows that take part."""
-    v = F.transform("embedding", lambda x: F.floor(F.lit(SCALE) * x.cast("double")).cast("long"))
-    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(2.0**50)))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-                         & F.coalesce(sound, F.lit(False))).select("vec_id", v.alias("v"))
+    """vec_id and v, the vector as doubles that are yet to be turned into whole numbers, of the rows that take part."""
+    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(sound, F.lit(False))
+                         ).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
+def whole(v: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x) of components below PLAIN in absolute value, as long."""
+    return np.floor(SCALE * v).astype(np.int64)
+
+
+def large_scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Scores of every query with every row in whole numbers of any size, held to the ends of a long."""
+    a, b = (np.array([[_large(x) for x in v] for v in m], object).reshape(m.shape) for m in (queries, rows))
+    score = a @ b.T if a.shape[1] else np.zeros((len(a), len(b)), object)
+    return np.clip(score, -2**63, 2**63 - 1).astype(np.int64)
+
+
+def _large(x: float) -> int:
+    return math.floor(SCALE * x) if abs(x) < 2.0**1000 else SCALE * int(x)
 
 
 def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int,
@@ -48,6 +69,9 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, r
     columns, row_ids = np.ascontiguousarray(rows[order].T.astype(kind)), row_ids[order]
     queries = queries.astype(kind)
     size = queries.shape[1]
+    if not size:
+        rows = row_ids[np.argsort(row_ids, kind="stable")]
+        return [(q, own := rows[rows != query_ids[q]][:k], np.zeros(len(own))) for q in range(len(queries))]
     cuts = list(range(0, size, block)) + [size]
 
     def rests(x: np.ndarray) -> np.ndarray:
@@ -104,9 +128,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, group: int = GROUP
             q, r = part[part.asks], part[~part.asks]
             if not len(r):
                 continue
-            for i, ids, scores in search_block(np.stack(list(q.v)), q.vec_id.to_numpy(), np.stack(list(r.v)),
-                                               r.vec_id.to_numpy(), k):
-                found.append(np.stack([np.full(len(ids), q.vec_id.iat[i]), np.full(len(ids), q.variant.iat[i]), ids,
+            asked, held = (np.stack(list(x.v)).reshape(len(x), size) for x in (q, r))
+            q_ids, r_ids = q.vec_id.to_numpy(), r.vec_id.to_numpy()
+            plain_q, plain_r = (np.abs(x).max(1, initial=0) < PLAIN for x in (asked, held))
+            best = []
+            at = np.flatnonzero(plain_q)
+            if len(at) and plain_r.any():
+                best = [(at[i], ids, scores) for i, ids, scores in search_block(
+                    whole(asked[at]), q_ids[at], whole(held[plain_r]), r_ids[plain_r], k)]
+            # Very large components: few, and compared without bounds.
+            for own, others in ((plain_q, ~plain_r), (~plain_q, np.ones(len(r), bool))):
+                for low in range(0, int(own.sum()) if others.any() else 0, 64):
+                    at = np.flatnonzero(own)[low:low + 64]
+                    for i, scores in zip(at, large_scores(asked[at], held[others])):
+                        other = r_ids[others] != q_ids[i]
+                        best.append((i, r_ids[others][other], scores[other]))
+            for i, ids, scores in best:
+                found.append(np.stack([np.full(len(ids), q_ids[i]), np.full(len(ids), q.variant.iat[i]), ids,
                                        scores.astype(np.int64)], 1))
         return pd.DataFrame(np.concatenate(found), columns=["query_id", "variant", "vec_id", "score"])
 
