@@ -90,12 +90,18 @@ def held_out(key: Column) -> Column:
     return F.coalesce(fold(key) == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[pd.DataFrame, float]:
+SAMPLE_BYTES = 64 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int,
+                    most_bytes: int = SAMPLE_BYTES) -> tuple[pd.DataFrame, float]:
     """At most ``per_class`` documents of each class 0 and 1, the first by hash of doc_id: columns doc_id, text, label,
     fold. And the share of label 1 among all labels that may be learnt from (0 if there are none).
 
     Held-out rows, null keys and other label values are left out; of several labels of one document the largest
-    counts. Only keys are ordered; the texts are fetched by a broadcast of at most twice ``per_class`` keys.
+    counts, of several texts the one first in order. Only keys and sizes are ordered; the texts, of which as many are
+    taken of each class as have ``most_bytes`` together (one at least), are fetched by a broadcast of at most twice
+    ``per_class`` keys.
     """
     known = (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
              .groupBy("doc_id").agg(F.max(label).alias("label")))
@@ -105,10 +111,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         part = known.where(F.col("label") == value).orderBy(*order).limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     share = known.agg(F.avg("label")).first()[0]
-    rows = (docs.select("doc_id", "text").where(F.col("text").isNotNull())
-            .join(F.broadcast(chosen), "doc_id")
-            .select("doc_id", "text", "label", fold(F.col("doc_id")).alias("fold")))
-    return rows.toPandas().sort_values(["doc_id", "text"], ignore_index=True), float(share or 0)
+    return texts_of(docs, chosen, "label", order, most_bytes), float(share or 0)
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame, group: str, order: list, most_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
+    """doc_id, text, ``group`` and fold of the documents in ``chosen`` (doc_id and ``group``, few enough to be sent
+    out), in each group those first in ``order`` that have ``most_bytes`` together, and one at least."""
+    some = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    sized = (some.select("doc_id", F.octet_length("text").alias("bytes")).join(F.broadcast(chosen), "doc_id")
+             .groupBy("doc_id", group).agg(F.max("bytes").alias("bytes")))
+    first = Window.partitionBy(group).orderBy(*order)
+    sized = sized.withColumns({"first": F.row_number().over(first), "used": F.sum("bytes").over(
+        first.rowsBetween(Window.unboundedPreceding, 0))})
+    taken = sized.where((F.col("used") <= most_bytes) | (F.col("first") == 1)).select("doc_id", group)
+    rows = (some.join(F.broadcast(taken), "doc_id").groupBy("doc_id", group).agg(F.min("text").alias("text"))
+            .select("doc_id", "text", group, fold(F.col("doc_id")).alias("fold")))
+    return rows.toPandas().sort_values(["doc_id", group], ignore_index=True)
 
 
 def same_schema(df: DataFrame, columns: str) -> str:

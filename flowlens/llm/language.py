@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.base import fold, held_out
+from flowlens.llm.base import fold, held_out, texts_of
 from flowlens.llm.vectors import Characters, batches
 
 BITS = 15
@@ -134,9 +134,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS) ->
     share = known.groupBy("lang").count().select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share"))
     unit = (F.xxhash64("doc_id", F.lit(23)) / F.lit(2.0**64)) + 0.5
     # One row for each language, of which the model holds a column of weights: small by construction.
-    sample = (known.join(F.broadcast(share), "lang").where(unit < F.col("share"))
-              .select("doc_id", "text", "lang", fold(F.col("doc_id")).alias("fold")).toPandas())
-    return LanguageModel(sample.sort_values(["doc_id", "text"], ignore_index=True), frequencies, texts, bits)
+    chosen = (known.select("doc_id", "lang").join(F.broadcast(share), "lang").where(unit < F.col("share"))
+              .select("doc_id", "lang").distinct())
+    sample = texts_of(known, chosen, "lang", [F.xxhash64("doc_id", F.lit(23)), F.col("doc_id")])
+    return LanguageModel(sample, frequencies, texts, bits)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
