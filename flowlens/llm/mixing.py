@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.relational import fitted
-from flowlens.llm.base import WORD, saved, settled
+from flowlens.llm.base import WORD, fresh, saved, settled
 
 MOST = 3
 BUCKETS = 4096
@@ -110,8 +110,9 @@ def _plan(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
+    of, tie, copies, copy = fresh(docs.columns, "of", "tie", "copies", "copy")
     taken = (plan(docs).where((F.col("copies") > 0) & (F.col("size") > 0)).dropDuplicates(["doc_id", "tie"])
-             .select(F.col("doc_id").alias("__of"), F.col("tie").alias("__tie"), F.col("copies").alias("__copies")))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.xxhash64("text") == F.col("__tie")))
-    return (rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+             .select(F.col("doc_id").alias(of), F.col("tie").alias(tie), F.col("copies").alias(copies)))
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(tie)))
+    return (rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.base import saved, settled
+from flowlens.llm.base import fresh, saved, settled
 from flowlens.llm.vectors import BASE, U, Words, batches, mix, runs, signed
 
 WINDOW = 50
@@ -279,9 +279,12 @@ def removals(docs: DataFrame, window: int = WINDOW, limits: tuple[int, ...] = LI
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, limits: tuple[int, ...] = LIMITS) -> DataFrame:
     """The rows of ``docs``; of those that lose words, text is what remains, joined by one space, and n_chars its length."""
+    of, mark, kept = fresh(docs.columns, "of", "mark", "kept")
     changed = settled(lambda: changes(docs, window, limits).where("n_removed > 0").dropDuplicates(["doc_id", "mark"])
-                      .select(F.col("doc_id").alias("__of"), F.col("mark").alias("__mark"), F.col("kept").alias("__kept")),
+                      .select(F.col("doc_id").alias(of), F.col("mark").alias(mark), F.col("kept").alias(kept)),
                       "substrings-changed")
-    new = {"text": F.coalesce("__kept", "text"), "n_chars": F.coalesce(F.length("__kept"), F.col("n_chars")).cast("long")}
-    joined = docs.join(changed, (F.col("doc_id") == F.col("__of")) & (F.xxhash64("text") == F.col("__mark")), "left")
+    new = {"text": F.coalesce(kept, "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length(kept), F.col("n_chars")).cast("long")
+    joined = docs.join(changed, (F.col("doc_id") == F.col(of)) & (F.xxhash64("text") == F.col(mark)), "left")
     return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

@@ -111,13 +111,14 @@ def planned(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", payload.alias("html"), F.sha2(payload.cast("binary"), 256).alias("digest"),
                         F.octet_length(payload).alias("bytes"))
     shared = (rows.where(F.col("bytes") >= MIN_SHARED).groupBy("digest")
-              .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+              .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+              .where("n > 1 AND first IS NOT NULL").drop("n"))
     # Who revisits whom is settled on slim rows; the payloads then move by page_id, of which none is frequent.
     slim = rows.where(F.col("bytes") >= MIN_SHARED).select("page_id", "digest")
-    revisits = (slim.join(shared, "digest").where(F.col("page_id") != F.col("first"))
+    revisits = (slim.join(shared, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
                 .select(F.col("page_id").alias("page"), F.col("digest").alias("same"), F.col("first").alias("refers_to"))
                 .distinct())
-    return (rows.join(revisits, (F.col("page_id") == F.col("page")) & (F.col("digest") == F.col("same")), "left")
+    return (rows.join(revisits, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("digest") == F.col("same")), "left")
             .select("page_id", "url", "html", "digest", "refers_to"))
 
 
