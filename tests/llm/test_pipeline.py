@@ -21,7 +21,7 @@ def connection():
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
-    assert len(QUERIES) == 10
+    assert len(QUERIES) == 13
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
