@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators import metrics as M
-from flowlens.operators.cleaning import with_defaults
+from flowlens.operators.stages import (PREFIX, FeatureColumns, MedianImputer, MedianImputerModel, ModeImputer,
+                                       ModeImputerModel, PopulationScaler, PopulationScalerModel, own)
+from flowlens.operators.staged import best_prefix
+from flowlens.session import saved
 
 
 def logistic(iterations: int = 200, weight: str | None = None, **params) -> LogisticRegression:
@@ -38,20 +41,31 @@ def perceptron(inputs: int, classes: int = 2, hidden: Sequence[int] = (256, 128)
                                           maxIter=iterations, seed=seed, **params)
 
 
-def preparation(numeric: Sequence[str], categorical: Sequence[str] = ()) -> list:
-    """Stages from columns to ``features``: one-hot text (unseen values all zero) and numbers as they are."""
-    indexed, hot = [f"{c}__index" for c in categorical], [f"{c}__hot" for c in categorical]
-    stages: list = []
+def preparation(numeric: Sequence[str], categorical: Sequence[str] = (), scaled: bool = True,
+                absent: str = "default") -> list:
+    """Stages from columns to ``features``: numbers with missing ones at the median, divided by their deviation if
+    ``scaled``; text with missing values at the most frequent one, then one-hot (unseen values all zero)."""
+    numbers, texts = own(numeric), own(categorical)
+    indexed, hot = [f"{c}__index" for c in texts], [f"{c}__hot" for c in texts]
+    stages: list = [FeatureColumns(numeric, categorical, absent)]
+    if numeric:
+        stages += [MedianImputer(numbers), *([PopulationScaler(numbers)] if scaled else [])]
     if categorical:
-        stages = [StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep",
-                                stringOrderType="alphabetAsc"),
-                  OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True)]
-    return [*stages, VectorAssembler(inputCols=[*numeric, *hot], outputCol="features", handleInvalid="error")]
+        stages += [ModeImputer(texts),
+                   StringIndexer(inputCols=texts, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
+                   OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True)]
+    return [*stages, VectorAssembler(inputCols=[*numbers, *hot], outputCol="features", handleInvalid="error")]
 
 
-def fit(train: DataFrame, classifier: Estimator, numeric: Sequence[str],
-        categorical: Sequence[str] = ()) -> PipelineModel:
-    return Pipeline(stages=[*preparation(numeric, categorical), classifier]).fit(train)
+def fit(train: DataFrame, classifier: Estimator, numeric: Sequence[str], categorical: Sequence[str] = (),
+        scaled: bool = True, absent: str = "default") -> PipelineModel:
+    """Everything from raw columns to scores in one model, fitted on the training rows alone."""
+    return Pipeline(stages=[*preparation(numeric, categorical, scaled, absent), classifier]).fit(train)
+
+
+def feature_list(model: PipelineModel) -> tuple[list[str], list[str]]:
+    """Number and text columns that a fitted or loaded pipeline was made for."""
+    return next(s for s in model.stages if isinstance(s, FeatureColumns)).lists()
 
 
 def score(model: PipelineModel, rows: DataFrame, keep: Sequence[str] = ("row_id", "y_true")) -> DataFrame:
@@ -60,17 +74,30 @@ def score(model: PipelineModel, rows: DataFrame, keep: Sequence[str] = ("row_id"
     return scored.select(*keep, "y_score", (F.col("y_score") >= 0.5).cast("int").alias("y_pred"))
 
 
+def predictions(model: PipelineModel, rows: DataFrame, keep: Sequence[str] = ("row_id", "y_true")) -> DataFrame:
+    """The prediction table written once, so that no later pass over it runs the model again."""
+    return saved(score(model, rows, keep))
+
+
 def classify(model: PipelineModel, rows: DataFrame, keep: Sequence[str] = ("row_id", "y_true")) -> DataFrame:
     """Most likely class of a model with several classes."""
     return model.transform(rows).select(*keep, F.col("prediction").cast("int").alias("y_pred"))
 
 
-def score_new(model: PipelineModel, rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
-              keep: Sequence[str] = ("row_id",)) -> DataFrame:
-    """Score a table that may lack features: missing numbers are 0, missing text is ``unk``."""
-    kept = [c for c in keep if c not in (*numeric, *categorical)]
-    full = with_defaults(rows, [*kept, *numeric, *categorical], numeric, as_is=kept)
-    return score(model, full, keep)
+def fitted_values(model: PipelineModel) -> tuple[dict, dict]:
+    """What stands in for missing values, by feature, and the scale of the numbers."""
+    fills, scales = {}, {}
+    for stage in model.stages:
+        if isinstance(stage, (MedianImputerModel, ModeImputerModel)):
+            fills |= {c.removeprefix(PREFIX): v for c, v in stage.values().items()}
+        elif isinstance(stage, PopulationScalerModel):
+            scales |= {c.removeprefix(PREFIX): v for c, v in stage.values().items()}
+    return fills, scales
+
+
+def score_new(model: PipelineModel, rows: DataFrame, keep: Sequence[str] = ("row_id",)) -> DataFrame:
+    """Score a table that may lack features of the model's own list: absent numbers are 0, absent text is ``unk``."""
+    return score(model, rows, keep)
 
 
 def save(model: PipelineModel, path: str) -> None:
@@ -86,7 +113,7 @@ def compare(train: DataFrame, test: DataFrame, classifiers: Mapping[str, Estimat
     """Prediction tables of several classifiers in one, under ``model``."""
     out = None
     for name, classifier in classifiers.items():
-        part = score(fit(train, classifier, numeric, categorical), test, keep).withColumn("model", F.lit(name))
+        part = predictions(fit(train, classifier, numeric, categorical), test, keep).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no classifier given")
@@ -110,8 +137,16 @@ def best_by_validation(train: DataFrame, val: DataFrame, build: Callable[[int],
     models = {setting: fit(train, build(setting), numeric, categorical) for setting in grid}
     scored = None
     for setting, model in models.items():
-        part = score(model, val, ["y_true"]).withColumn("setting", F.lit(setting))
+        part = predictions(model, val, ["y_true"]).withColumn("setting", F.lit(setting))
         scored = part if scored is None else scored.unionByName(part)
     table = M.summary(M.score_curve(scored, ["setting"]), ["setting"]).select("setting", "pr_auc")
     best = table.orderBy(F.col("pr_auc").desc(), "setting").first()
     return best["setting"], models[best["setting"]], table
+
+
+def best_rounds(model: PipelineModel, val: DataFrame) -> tuple[int, PipelineModel, DataFrame]:
+    """Of a fitted pipeline that ends in a boosted classifier: the round with the best validation average precision (the
+    earliest among equals), the pipeline up to that round, and ``round, pr_auc`` for all, without fitting again."""
+    *before, classifier = model.stages
+    best, short, table = best_prefix(classifier, PipelineModel(before).transform(val))
+    return best, PipelineModel([*before, short]), table

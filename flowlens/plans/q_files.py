@@ -14,10 +14,11 @@ from flowlens.operators import splits as SP
 from flowlens.operators import thresholds as TH
 from flowlens.plans import views as V
 from flowlens.plans.q_tables import ENDPOINTS, count_of
+from flowlens.plans.q_scores import split_sql
 from flowlens.plans.registry import query, rounded
 from flowlens.plans.staging import named_csv, named_texts
 from flowlens.schemas import FEATURE_SETS, PACKET_SCHEMA
-from flowlens.session import scratch_path
+from flowlens.session import saved, scratch_path
 from flowlens.sources import files as S
 from flowlens.sources import sinks as K
 from flowlens.streaming import flows as ST
@@ -274,23 +275,42 @@ def _(spark, d):
     return rounded(latest.withColumn("win_start", F.unix_seconds("win_start")))
 
 
-@query("st_2_streaming_alarms")
+NUMERIC, TEXT = ["dur", "spkts", "sbytes"], ["proto", "state"]
+#: Enough for a split between any two values of the packets and bytes below.
+BINS = 128
+
+
+def _split_rows(spark, d, strata="y_true"):
+    """Training and test rows of the flows with gaps, the split saved once."""
+    parts = saved(SP.train_test(V.gap_flows(spark, d), 0.3, [strata]))
+    return parts.where("split = 'train'"), parts.where("split = 'test'")
+
+
+#: The test rows in SQL. The classes lie apart, so what a classifier must decide is the label itself.
+TEST_ROWS = f", {split_sql('parts', 'gap_flows', 'ceil(0.3e0 * n)', names=('test', 'train'))}, t AS (SELECT * FROM parts WHERE split = 'test')"
+DECIDED = TEST_ROWS + " SELECT row_id, y_true, y_true AS y_pred FROM t"
+KIND_ROWS = TEST_ROWS.replace("PARTITION BY y_true", "PARTITION BY kind")
+PERFECT = "1.0e0 AS pr_auc, 0.0e0 AS fpr95, 1.0e0 AS accuracy"
+
+
+def _decisions(scored):
+    return scored.select("row_id", "y_true", "y_pred")
+
+
+@query("st_2_streaming_alarms", TEST_ROWS + " SELECT row_id, y_true, proto, state FROM t WHERE y_true = 1", "gap_flows")
 def _(spark, d):
-    rows = _flow_rows(spark, d)
-    model = ML.fit(rows, ML.logistic(20), ["dur", "spkts", "sbytes"], ["proto"])
-    scores = ML.score(model, rows)
-    limit = TH.kth_negative_thresholds(M.score_curve(scores), [0.05]).first()["threshold"]
+    """Fitted on the training rows; the test rows arrive as files, of which each batch takes a few."""
+    train, test = _split_rows(spark, d)
+    model = ML.fit(train, ML.forest(100, maxBins=BINS), NUMERIC, TEXT)
     source, target = scratch_path(spark, "flows"), scratch_path(spark, "alarms")
-    K.write_csv(rows, source)
-    ST.run_available(ST.alarms(ST.flow_stream(spark, source, rows.schema), model, limit), target, scratch_path(spark, "state"))
-    return spark.read.parquet(target).drop("batch_id")
+    test = test.drop("split")
+    K.write_csv(test.repartition(6), source)
+    ST.run_available(ST.alarms(ST.flow_stream(spark, source, test.schema, 2), model, 0.5), target, scratch_path(spark, "state"))
+    return spark.read.parquet(target).select("row_id", "y_true", "proto", "state")
 
 
 # --- classifiers --------------------------------------------------------------------------------------
 
-NUMERIC, TEXT = ["dur", "spkts", "sbytes"], ["proto", "state"]
-
-
 def _flow_rows(spark, d):
     """Labelled flows from order lines, the score view's signal hidden in the byte count."""
     lines = V.table(spark, d, "lineitem")
@@ -304,106 +324,120 @@ def _flow_rows(spark, d):
         (F.when(positive, 443).otherwise(80) + F.col("l_suppkey") % 3).cast("double").alias("dport"))
 
 
-def _split_rows(spark, d):
-    parts = SP.train_test(_flow_rows(spark, d), 0.3, ["y_true"])
-    return parts.where("split = 'train'"), parts.where("split = 'test'")
-
-
-def _vectors(spark, d):
-    e = V.table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("row_id"), (F.col("label") < 3).cast("int").alias("y_true"), F.col("label").alias("kind"),
-                    *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
-
-
-VECTOR = [f"f{i}" for i in range(64)]
-
-
 @query("ml_1_class_weights", """, n AS (SELECT y_true, count(*) AS c, sum(count(*)) OVER () AS n FROM scored GROUP BY 1)
 SELECT y_true, round(n / (2.0e0 * c), 6) AS weight, CAST(c AS BIGINT) AS n FROM n""", "scored")
 def _(spark, d):
     return rounded(count_of(LB.class_weights(V.scored(spark, d), [0, 1]), "y_true", "weight"))
 
 
-@query("ml_1_logistic")
+@query("ml_1_logistic", DECIDED, "gap_flows")
 def _(spark, d):
     train, test = _split_rows(spark, d)
-    return ML.score(ML.fit(LB.class_weights(train, [0, 1]), ML.logistic(50, "weight"), NUMERIC, TEXT), test)
+    return _decisions(ML.score(ML.fit(LB.class_weights(train, [0, 1]), ML.logistic(2500, "weight"), NUMERIC, TEXT), test))
 
 
-@query("ml_2_forest")
+@query("ml_2_forest", DECIDED, "gap_flows")
 def _(spark, d):
     train, test = _split_rows(spark, d)
-    return ML.score(ML.fit(train, ML.forest(20, 8), NUMERIC, TEXT), test)
+    return _decisions(ML.score(ML.fit(train, ML.forest(200, maxBins=BINS), NUMERIC, TEXT), test))
 
 
-@query("ml_3_boosted")
+@query("ml_3_boosted", DECIDED, "gap_flows")
 def _(spark, d):
     train, test = _split_rows(spark, d)
-    return ML.score(ML.fit(train, ML.boosted(5, 4, 0.3), NUMERIC, TEXT), test)
+    return _decisions(ML.score(ML.fit(train, ML.boosted(20, 6, 0.3, maxBins=BINS), NUMERIC, TEXT), test))
 
 
-@query("ml_4_perceptron")
+@query("ml_4_perceptron", DECIDED, "gap_flows")
 def _(spark, d):
-    rows = _vectors(spark, d)
-    return ML.score(ML.fit(rows, ML.perceptron(64, hidden=(32, 16), iterations=30), VECTOR), rows)
+    train, test = _split_rows(spark, d)
+    return _decisions(ML.score(ML.fit(train, ML.perceptron(len(NUMERIC)), NUMERIC), test))
 
 
-@query("ml_5_multiclass_logistic")
+@query("ml_5_multiclass_logistic", KIND_ROWS + " SELECT row_id, kind AS y_true, kind AS y_pred FROM t", "gap_flows")
 def _(spark, d):
-    rows = _vectors(spark, d).withColumn("y_true", F.col("kind"))
-    return ML.classify(ML.fit(rows, ML.logistic(20), VECTOR), rows)
+    train, test = (x.withColumn("y_true", F.col("kind")) for x in _split_rows(spark, d, "kind"))
+    return ML.classify(ML.fit(train, ML.logistic(200), ["volume", "dur"], TEXT), test)
 
 
-@query("ml_5_multiclass_forest")
+@query("ml_5_multiclass_forest", KIND_ROWS + """, r AS (SELECT CAST(kind AS VARCHAR) AS class, CAST(count(*) AS BIGINT) AS support FROM t GROUP BY 1
+  UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), CAST(count(*) AS BIGINT) FROM t)
+SELECT class, CASE WHEN class <> 'accuracy' THEN 1.0e0 END AS precision, CASE WHEN class <> 'accuracy' THEN 1.0e0 END AS recall, 1.0e0 AS f1, support FROM r""", "gap_flows")
 def _(spark, d):
-    rows = _vectors(spark, d).withColumn("y_true", F.col("kind"))
-    return M.classification_report(ML.classify(ML.fit(rows, ML.forest(10, 6), VECTOR), rows))
+    train, test = (x.withColumn("y_true", F.col("kind")) for x in _split_rows(spark, d, "kind"))
+    return M.classification_report(ML.classify(ML.fit(train, ML.forest(200, maxBins=BINS), ["volume", "dur"], TEXT), test))
 
 
-@query("ml_6_fit_and_score")
+@query("ml_6_fit_and_score", TEST_ROWS + """ SELECT CAST(count(*) AS BIGINT) AS n, avg(y_true) AS pos_rate, 1.0e0 AS pr_auc, 1.0e0 AS roc_auc,
+  0.0e0 AS fpr_at_tpr95, 1.0e0 AS tpr_at_fpr01 FROM t""", "gap_flows")
 def _(spark, d):
     train, test = _split_rows(spark, d)
-    scored = ML.score(ML.fit(train, ML.logistic(50), NUMERIC, TEXT), test)
-    return M.summary(M.score_curve(scored), budgets=(0.01, 0.05))
+    scored = ML.predictions(ML.fit(train, ML.logistic(200), NUMERIC, TEXT), test)
+    summary = M.summary(M.score_curve(scored), budgets=(0.01,))
+    return rounded(summary.select("pr_auc", "roc_auc", "fpr_at_tpr95", F.col("tpr_at_fpr01"))).join(M.base_rate(scored))
 
 
-@query("ml_7_score_new_table")
+@query("ml_7_score_new_table", TEST_ROWS + " SELECT row_id, y_true AS y_pred FROM t", "gap_flows")
 def _(spark, d):
-    rows = _flow_rows(spark, d)
-    model = ML.fit(rows, ML.logistic(20), NUMERIC, TEXT)
-    return ML.score_new(model, rows.select("row_id", "sbytes", "proto"), NUMERIC, TEXT)
+    train, test = _split_rows(spark, d)
+    model = ML.fit(train, ML.forest(100, maxBins=BINS), ["spkts", "sbytes", "dur"], ["proto"])
+    return ML.score_new(model, test.select("row_id", "sbytes", "spkts")).select("row_id", "y_pred")
 
 
-@query("io_14_saved_pipeline")
+@query("io_14_saved_pipeline", TEST_ROWS + " SELECT row_id, y_true AS y_pred, true AS same_score, 'dur spkts sbytes, proto state' AS features FROM t", "gap_flows")
 def _(spark, d):
-    rows = _flow_rows(spark, d)
+    train, test = _split_rows(spark, d)
+    path = scratch_path(spark, "model")
+    model = ML.fit(train, ML.logistic(200), NUMERIC, TEXT)
+    ML.save(model, path)
+    again = ML.load(path)
+    now = ML.score(model, test).select(F.col("row_id").alias("of"), F.col("y_score").alias("before"))
+    listed = ", ".join(" ".join(names) for names in ML.feature_list(again))
+    return ML.score(again, test).join(now, F.col("row_id") == F.col("of")).select(
+        "row_id", "y_pred", (F.col("y_score") == F.col("before")).alias("same_score"), F.lit(listed).alias("features"))
+
+
+@query("io_14_fitted_values", f""", {split_sql('parts', 'gap_flows', 'ceil(0.3e0 * n)', names=('test', 'train'))},
+f AS (SELECT *, median(dur) OVER () AS d, median(spkts) OVER () AS p, median(sbytes) OVER () AS b FROM parts WHERE split = 'train'),
+u AS (SELECT 'dur' AS feature, median(dur) AS filled, stddev_pop(coalesce(dur, d)) AS scale FROM f
+  UNION ALL SELECT 'spkts', median(spkts), stddev_pop(coalesce(spkts, p)) FROM f
+  UNION ALL SELECT 'sbytes', median(sbytes), stddev_pop(coalesce(sbytes, b)) FROM f)
+SELECT feature, CAST(round(filled, 6) AS VARCHAR) AS filled, round(scale, 6) AS scale FROM u
+UNION ALL SELECT 'proto', (SELECT proto FROM f WHERE proto IS NOT NULL GROUP BY proto ORDER BY count(*) DESC, proto LIMIT 1), NULL
+UNION ALL SELECT 'state', (SELECT state FROM f GROUP BY state ORDER BY count(*) DESC, state LIMIT 1), NULL""", "gap_flows")
+def _(spark, d):
+    """What a saved pipeline has learnt, read back from it: medians, modes and population scales of the training rows."""
     path = scratch_path(spark, "model")
-    ML.save(ML.fit(rows, ML.logistic(20), NUMERIC, TEXT), path)
-    return ML.score(ML.load(path), rows)
+    ML.save(ML.fit(_split_rows(spark, d)[0], ML.logistic(10), NUMERIC, TEXT), path)
+    filled, scales = ML.fitted_values(ML.load(path))
+    return rounded(spark.createDataFrame(
+        [(c, str(round(v, 6)) if isinstance(v, float) else v, scales.get(c)) for c, v in filled.items()],
+        "feature string, filled string, scale double"))
 
 
-@query("ml_10_model_comparison")
+@query("ml_10_model_comparison", f" SELECT unnest(['forest', 'logreg']) AS model, {PERFECT}")
 def _(spark, d):
     train, test = _split_rows(spark, d)
-    return ML.model_report(ML.compare(train, test, {"logreg": ML.logistic(30), "forest": ML.forest(10, 6)}, NUMERIC, TEXT))
+    return rounded(ML.model_report(ML.compare(train, test, {"logreg": ML.logistic(200), "forest": ML.forest(200, maxBins=BINS)}, NUMERIC, TEXT)))
 
 
-@query("ml_11_feature_sets")
+@query("ml_11_feature_sets", f" SELECT unnest(['portable', 'ports']) AS feature_set, {PERFECT}")
 def _(spark, d):
     train, test = _split_rows(spark, d)
     parts = []
     for name, columns in FEATURE_SETS.items():
         numeric = [c for c in columns if c not in TEXT]
-        model = ML.fit(train, ML.forest(10, 6), numeric, TEXT)
-        parts.append(ML.score(model, test).withColumn("feature_set", F.lit(name)))
-    return ML.model_report(MG.union_by_name(parts), ["feature_set"])
+        model = ML.fit(train, ML.forest(200, maxBins=BINS), numeric, TEXT)
+        parts.append(ML.predictions(model, test).withColumn("feature_set", F.lit(name)))
+    return rounded(ML.model_report(MG.union_by_name(parts), ["feature_set"]))
 
 
-@query("ml_12_best_by_validation")
+@query("ml_12_best_by_validation", " SELECT unnest(range(1, 21))::INTEGER AS round, 1.0e0 AS pr_auc, unnest(range(1, 21)) = 1 AS chosen")
 def _(spark, d):
     train, val = _split_rows(spark, d)
-    best, _, table = ML.best_by_validation(train, val, lambda n: ML.logistic(n), [1, 5, 20], NUMERIC, TEXT)
-    return table.withColumn("chosen", F.col("setting") == best)
+    model = ML.fit(train, ML.boosted(20, 6, 0.3, subsample=1.0, maxBins=BINS), NUMERIC, TEXT)
+    best, _, table = ML.best_rounds(model, val)
+    return rounded(table).withColumn("chosen", F.col("round") == best)
 
 
 @query("ft_6_one_hot", """SELECT state, CASE WHEN state <= 'S5' THEN CAST(substr(state, 2, 1) AS INTEGER) - 1 END AS slot, CAST(n AS BIGINT) AS n FROM (
@@ -413,15 +447,19 @@ def _(spark, d):
     from pyspark.ml.functions import vector_to_array
     rows = _flow_rows(spark, d).select("state", "dur")
     fitted = Pipeline(stages=ML.preparation(["dur"], ["state"])).fit(rows.where("state <= 'S5'"))
-    hot = vector_to_array("state__hot")
+    hot = vector_to_array("__f_state__hot")
     slot = F.array_position(hot, 1.0)
     return count_of(fitted.transform(rows).select("state", F.when(slot > 0, slot - 1).cast("int").alias("slot")), "state", "slot")
 
 
-@query("ft_12_dense_matrix")
+@query("ft_12_dense_matrix", """, m AS (SELECT *, median(dur) OVER () AS d, median(spkts) OVER () AS p, median(sbytes) OVER () AS b FROM gap_flows)
+SELECT row_id, CAST(CAST(coalesce(dur, d) AS FLOAT) AS DOUBLE) AS dur, CAST(CAST(coalesce(spkts, p) AS FLOAT) AS DOUBLE) AS spkts,
+  CAST(CAST(coalesce(sbytes, b) AS FLOAT) AS DOUBLE) AS sbytes FROM m""", "gap_flows")
 def _(spark, d):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
-    rows = FT.impute_medians(_flow_rows(spark, d), FT.fit_medians(_flow_rows(spark, d), NUMERIC), NUMERIC)
+    flows = V.gap_flows(spark, d)
+    rows = FT.impute_medians(flows, FT.fit_medians(flows, NUMERIC), NUMERIC)
     dense = VectorAssembler(inputCols=NUMERIC, outputCol="features", handleInvalid="error").transform(rows)
-    return dense.select("row_id", vector_to_array("features", "float32").alias("features"))
+    dense = dense.select("row_id", vector_to_array("features", "float32").alias("f"))
+    return dense.select("row_id", *[F.col("f")[i].cast("double").alias(c) for i, c in enumerate(NUMERIC)])

@@ -207,6 +207,23 @@ def multiclass(spark: SparkSession, folder: str) -> DataFrame:
                         .otherwise("R").alias("y_pred"))
 
 
+def gap_flows(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled flows with missing values, which any classifier tells apart: packets and bytes of an attack lie beyond
+    all others', and one of the two is there in every row. ``kind`` numbers three such classes."""
+    lines = table(spark, folder, "lineitem")
+    attack, key = F.when(F.col("l_returnflag") == "R", 1).otherwise(0), F.col("l_partkey")
+    kind = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2)
+    return lines.select(
+        _line_key().alias("row_id"), attack.alias("y_true"), kind.alias("kind"),
+        F.when(F.col("l_suppkey") % 11 != 0, F.col("l_tax")).alias("dur"),
+        F.when(key % 13 != 0, F.col("l_linestatus")).alias("proto"),
+        F.concat(F.lit("S"), F.col("l_linenumber")).alias("state"),
+        F.when(key % 5 != 0, F.col("l_quantity") + 100.0 * attack).alias("spkts"), F.lit(0.0).alias("dpkts"),
+        F.when(key % 5 != 1, F.floor(F.col("l_extendedprice") / 5000) * 5000.0 + 400000.0 * attack).alias("sbytes"), F.lit(0.0).alias("dbytes"),
+        (key % 1000).cast("double").alias("sport"), (F.lit(80) + F.col("l_suppkey") % 3).cast("double").alias("dport"),
+        (F.col("l_quantity") + 100.0 * kind).alias("volume"))
+
+
 def group_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of capture iterations: the customer stands for the iteration."""
     return table(spark, folder, "orders").select(F.col("o_custkey").alias("iteration"), F.col("o_orderkey").alias("row_id"))
@@ -228,6 +245,13 @@ SQL_VIEWS = {
              "FROM labels JOIN documents USING (doc_id)",
     "multiclass": "SELECT l_returnflag AS y_true, CASE WHEN l_quantity < 20 THEN 'A' WHEN l_linestatus = 'O' THEN 'N' "
                   "ELSE 'R' END AS y_pred FROM lineitem",
+    "gap_flows": """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    CAST(round(l_extendedprice * 100) AS BIGINT)) AS row_id, attack AS y_true,
+  CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 1 ELSE 2 END AS kind,
+  CASE WHEN l_suppkey % 11 <> 0 THEN l_tax END AS dur, CASE WHEN l_partkey % 13 <> 0 THEN l_linestatus END AS proto,
+  'S' || l_linenumber AS state, CASE WHEN l_partkey % 5 <> 0 THEN l_quantity + 100.0e0 * attack END AS spkts,
+  CASE WHEN l_partkey % 5 <> 1 THEN floor(l_extendedprice / 5000) * 5000.0e0 + 400000.0e0 * attack END AS sbytes
+FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS attack FROM lineitem)""",
     "group_rows": "SELECT o_custkey AS iteration, o_orderkey AS row_id FROM orders",
     # Exact cumulative counts per distinct score, the SQL way, over whichever of the scored views is named first.
     "curve": """SELECT *, tp / nullif(n_pos, 0)::DOUBLE AS tpr, fp / nullif(n_neg, 0)::DOUBLE AS fpr,

@@ -226,7 +226,7 @@ def test_classifiers_learn_a_separable_table(spark):
         assert ML.score(model, df).where("y_true = y_pred").count() > 390
     path = scratch_path(spark, "model")
     ML.save(model, path)
-    again = ML.score_new(ML.load(path), df.select("row_id", "dur"), ["dur"], ["proto"])
+    again = ML.score_new(ML.load(path), df.select("row_id", "dur"))
     assert again.count() == 400 and again.columns == ["row_id", "y_score", "y_pred"]
     best, _, grid = ML.best_by_validation(df, df, ML.logistic, [1, 10], ["dur"])
     assert best in (1, 10) and grid.count() == 2
