@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.functions.relational import fitted
 from flowlens.llm.base import fresh, saved, settled
 from flowlens.llm.vectors import BASE, U, Words, batches, mix, runs, signed
 
@@ -249,7 +250,10 @@ def _cut(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
             out.insert(0, "doc_id", f.doc_id.to_numpy())
             yield out
 
-    return texts.select("doc_id", "tag", "text").join(spans, ["doc_id", "tag"]).mapInPandas(
+    # Most texts lose nothing: they are left out by their keys, broadcast only where counted and few, before any is shuffled.
+    spans = saved(spans, "substrings-spans")
+    losing = texts.select("doc_id", "tag", "text").join(fitted(spans.select("doc_id", "tag")), ["doc_id", "tag"], "left_semi")
+    return losing.join(spans, ["doc_id", "tag"]).mapInPandas(
         run, "doc_id long, tag int, n_removed long, kept string").dropDuplicates(["doc_id", "tag"])
 
 
@@ -286,5 +290,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, limits: tuple[int, ...]
     new = {"text": F.coalesce(kept, "text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.coalesce(F.length(kept), F.col("n_chars")).cast("long")
-    joined = docs.join(changed, (F.col("doc_id") == F.col(of)) & (F.xxhash64("text") == F.col(mark)), "left")
-    return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    same = (F.col("doc_id") == F.col(of)) & (F.xxhash64("text") == F.col(mark))
+    # Only rows that lose words meet their new texts; which they are is told by keys, broadcast where counted and few.
+    keys = fitted(changed.select(of, mark))
+    altered = docs.join(keys, same, "left_semi").join(changed, same)
+    altered = altered.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(keys, same, "left_anti").unionByName(altered)
