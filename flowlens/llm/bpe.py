@@ -23,8 +23,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-#: Strings whose ids a worker remembers, four times over (pieces and words, new and old): some 20 MB.
-REMEMBERED = 25_000
+#: Strings whose ids a worker remembers, four times over (pieces and words, new and old): some 50 MB.
+REMEMBERED = 100_000
 
 #: White space as Unicode defines it, which leaves out the separators 1C to 1F.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
