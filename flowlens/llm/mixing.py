@@ -14,7 +14,7 @@ interchangeable). Null doc_ids share one u. An empty table gives an empty result
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.relational import fitted
@@ -58,12 +58,23 @@ def plan(docs: DataFrame) -> DataFrame:
     return settled(lambda: _plan(docs), "mix-plan")
 
 
-def _plan(docs: DataFrame) -> DataFrame:
-    unit = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10)
+def _unit() -> Column:
+    """The document's random number u, in (0, 1)."""
+    return (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10)
             .cast("long") + 0.5) / float(2**UNIT_BITS)
-    sized = saved(docs.select(
-        "doc_id", F.xxhash64("text").alias("tie"), "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), unit.alias("u")), "mix-sized")
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _rank() -> Column:
+    """Random odds by inclusion odds; null where nothing is drawn."""
+    return F.try_divide(F.col("u") / (1 - F.col("u")), F.col("p") / (1 - F.col("p")))
+
+
+def _plan(docs: DataFrame) -> DataFrame:
+    sized = saved(docs.select("doc_id", F.xxhash64("text").alias("tie"), "source", _size().alias("size"), _unit().alias("u")), "mix-sized")
     targets = source_targets(sized.select("source", "size"))
     rate = F.when(F.col("source_size") > 0, F.try_divide("target", "source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("rate", rate).select(
@@ -82,8 +93,7 @@ def _plan(docs: DataFrame) -> DataFrame:
     # One row per source, broadcast only where counted and small.
     per_source = fitted(cut.select(F.col("source").alias("of"), "source_size", "target", "certain", "p", "wanted",
                                    F.col("cut.bucket").alias("cut"), F.col("cut.start").alias("start")))
-    rows = sized.join(per_source, F.col("source").eqNullSafe(F.col("of")), "left").withColumn(
-        "rank", F.try_divide(F.col("u") / (1 - F.col("u")), F.col("p") / (1 - F.col("p"))))
+    rows = sized.join(per_source, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("rank", _rank())
     # Only the cut's bucket needs its documents in order; all others are wholly before or after it.
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
     inside = rows.where(bucket == F.col("cut")).withColumn("upto", F.sum("size").over(order) + F.col("start"))
@@ -91,7 +101,7 @@ def _plan(docs: DataFrame) -> DataFrame:
     inside = inside.withColumn("drawn", nearest & (F.col("size") > 0))
     outside = rows.where(~F.coalesce(bucket == F.col("cut"), F.lit(False))).withColumn(
         "drawn", F.coalesce(bucket < F.col("cut"), F.lit(False)) & (F.col("size") > 0))
-    done = ["doc_id", "tie", "source", "size", "source_size", "target", "certain", "wanted", "drawn"]
+    done = ["doc_id", "tie", "source", "size", "source_size", "target", "certain", "p", "wanted", "rank", "drawn"]
     drawn = saved(inside.select(*done).unionByName(outside.select(*done)), "mix-drawn")
     # A very long document at the cut leaves a gap: the one document whose size fits it best is drawn or undrawn.
     gap = fitted(drawn.groupBy("source", "wanted").agg(
@@ -104,15 +114,31 @@ def _plan(docs: DataFrame) -> DataFrame:
                   .select(F.col("source").alias("of"), F.col("x.doc_id").alias("swap"), F.col("x.tie").alias("swap_tie")))
     drawn = drawn.join(swap, F.col("source").eqNullSafe(F.col("of")), "left")
     swapped = F.coalesce(F.col("doc_id").eqNullSafe(F.col("swap")) & (F.col("tie") == F.col("swap_tie")), F.lit(False))
-    return drawn.select("doc_id", "tie", "source", "size", "source_size", "target",
-                        (F.col("certain") + (F.col("drawn") != swapped).cast("long")).alias("copies"))
+    return drawn.select("doc_id", "tie", "source", "size", "source_size", "target", "certain", "p", "rank", "drawn",
+                        swapped.alias("swapped"), (F.col("certain") + (F.col("drawn") != swapped).cast("long")).alias("copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    of, tie, copies, copy = fresh(docs.columns, "of", "tie", "copies", "copy")
-    taken = (plan(docs).where((F.col("copies") > 0) & (F.col("size") > 0)).dropDuplicates(["doc_id", "tie"])
-             .select(F.col("doc_id").alias(of), F.col("tie").alias(tie), F.col("copies").alias(copies)))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(tie)))
-    return (rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    A source's drawn rows are those up to the last one in its order, but for the one that closes the gap. So one row for each
+    source says what is taken, and no text is shuffled. Rows equal in doc_id and text are taken alike.
+    """
+    last = F.max(F.when(F.col("drawn"), F.struct("rank", "doc_id", "tie")))
+    swap = F.max(F.when(F.col("swapped"), F.struct("doc_id", "tie")))
+    per_source = plan(docs).groupBy("source").agg(
+        F.first("certain").alias("certain"), F.first("p").alias("p"), last.alias("last"), swap.alias("swap"))
+    names = fresh(docs.columns, "of", "rule", "here")
+    of, rule, here = names
+    table = fitted(per_source.select(F.col("source").alias(of), F.struct("certain", "p", "last", "swap").alias(rule)))
+    rows = docs.join(table, F.col("source").eqNullSafe(F.col(of)), "left")
+    own = {"u": _unit(), "p": F.col(f"{rule}.p"), "size": _size(), "tie": F.xxhash64("text")}
+    rows = rows.withColumn(here, F.struct("doc_id", *[c.alias(n) for n, c in own.items()]))
+    p, u = F.col(f"{here}.p"), F.col(f"{here}.u")
+    place = F.struct(F.try_divide(u / (1 - u), p / (1 - p)).alias("rank"), F.col(f"{here}.doc_id").alias("doc_id"), F.col(f"{here}.tie").alias("tie"))
+    drawn = F.coalesce(place <= F.col(f"{rule}.last"), F.lit(False))
+    swapped = F.coalesce(F.struct(F.col(f"{here}.doc_id").alias("doc_id"), F.col(f"{here}.tie").alias("tie")) == F.col(f"{rule}.swap"), F.lit(False))
+    copies = F.col(f"{rule}.certain") + (drawn != swapped).cast("long")
+    return (rows.where((F.col(f"{here}.size") > 0) & (copies > 0))
+            .withColumn(here, F.explode(F.sequence(F.lit(1), copies.cast("int"))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
