@@ -15,7 +15,7 @@ _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 BYTE_VALUES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
