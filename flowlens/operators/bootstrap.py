@@ -10,19 +10,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowlens.functions.hashing import PRIME, coefficients, row_hash
+from flowlens.functions.hashing import PRIME, coefficients, draws, row_hash
 from flowlens.operators import metrics as M
-from flowlens.operators.ordered import ROWS_PER_BUCKET, bucketed, splitters
+from flowlens.operators.ordered import bucketed, splitters
+from flowlens.session import saved
 
-# Weights held in a task at a time.
-BLOCK = 1_000_000
+# Weights held in a task at a time, in a processor's cache.
+BLOCK = 65_536
+# Cells of a score range, which is one row.
+CELLS_PER_BUCKET = 8_192
 # Half the width, in root means, of the range outside which a Poisson count does not fall in double precision.
 SPREAD = 12
 
@@ -42,31 +46,50 @@ def poisson_steps(mean: int) -> tuple[int, np.ndarray]:
     return first, steps / steps[-1]
 
 
-def _draws(coefs: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Uniforms in (0, 1): the cubic of each row at each point, modulo the prime."""
-    acc = np.broadcast_to(coefs[:, 3:4], (len(coefs), len(points))).astype(np.int64)
-    for i in (2, 1, 0):
-        acc = (acc * points[None, :] + coefs[:, i:i + 1]) % PRIME
-    return (acc + 0.5) / PRIME
+@lru_cache(maxsize=4096)
+def poisson_limits(mean: int) -> tuple[int, np.ndarray]:
+    """The first count, and the draws (whole numbers below the prime) from which on each next count is reached."""
+    first, steps = poisson_steps(mean)
+    limits = np.clip(np.floor(steps * PRIME - 0.5).astype(np.int64) - 2, 0, PRIME)
+    while True:  # up to the first draw whose middle lies beyond the step
+        low = (limits < PRIME) & ((limits + 0.5) / PRIME <= steps)
+        if not low.any():
+            return first, limits[limits < PRIME].astype(np.uint32)
+        limits[low] += 1
 
 
 def poisson_weights(coefs: np.ndarray, counts: np.ndarray, reps: int) -> np.ndarray:
     """Weights of cells (rows) in repetitions 1…reps (columns)."""
-    points = np.arange(1, reps + 1, dtype=np.int64)
-    first = _draws(coefs, 2 * points)
-    weights = np.zeros(first.shape)
+    drawn = draws(coefs, 2 * np.arange(1, reps + 1))
+    weights = np.empty(drawn.shape, np.float64)
     for size in np.unique(counts):
-        mine = counts == size
-        start, steps = poisson_steps(int(size))
-        weights[mine] = start + np.searchsorted(steps, first[mine], side="left")
+        mine = np.flatnonzero(counts == size)
+        own = drawn if len(mine) == len(counts) else drawn[mine]
+        start, limits = poisson_limits(int(size))
+        if len(limits) < 24:
+            reached = np.zeros(own.shape, np.uint8)
+            for limit in limits:
+                reached += own >= limit
+        else:
+            reached = np.searchsorted(limits, own, side="right")
+        weights[mine] = reached + float(start)
     return weights
 
 
+def score_text(score: Column) -> Column:
+    """Text that tells any two scores apart, for hashing: whole and 2^-40 parts of 1e-9 units, which every engine works out
+    alike, and beyond what they can hold (tiny, huge and infinite scores) a hash of the double's bits."""
+    units = score * 1e9
+    parts = F.concat_ws(".", F.floor(units), F.floor((units - F.floor(units)) * 2.0**40))
+    return F.when((F.abs(score) >= 2.0**-20) & (F.abs(score) < 2.0**30), parts).otherwise(
+        F.concat(F.lit("x"), F.xxhash64(score)))
+
+
 def _with_coefficients(cells: DataFrame, parts: Sequence[str], seed: int) -> DataFrame:
-    """Adds ``a0…a3``. Doubles enter the hash scaled to whole 1e-9 units, so that engines agree on the text."""
+    """Adds ``a0…a3``."""
     def text(name: str):
         if cells.schema[name].dataType.typeName() in ("double", "float"):
-            return F.round(F.col(name) * 1e9).cast("bigint")
+            return score_text(F.col(name).cast("double"))
         return F.coalesce(F.col(name).cast("string"), F.lit("~"))
     hashed = cells.withColumn("__h", row_hash(seed, *[text(p) for p in parts]))
     return hashed.withColumns({f"a{i}": c for i, c in enumerate(coefficients(F.col("__h")))}).drop("__h")
@@ -120,14 +143,20 @@ def decision_bootstrap(df: DataFrame, groups: Sequence[str] = (), reps: int = 20
         (F.col("fp") / (F.col("fp") + F.col("tn") + tiny)).alias("fpr"))
 
 
+#: The cells of one score range: in descending order of scores; a new score begins where ``begins`` is true.
+PACKED = ("__group string, __bucket int, begins array<boolean>, positive array<boolean>, c array<bigint>, coefs array<bigint>, "
+          "pos array<double>, neg array<double>, hits array<double>")
+
+
 def score_bootstrap(df: DataFrame, groups: Sequence[str] = (), reps: int = 1000, seed: int = 7,
                     decide_at: float | None = None, score: str = "y_score", label: str = "y_true",
-                    predicted: str = "y_pred", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                    predicted: str = "y_pred", rows_per_bucket: int = CELLS_PER_BUCKET) -> DataFrame:
     """Average precision, FPR at 95 % TPR and accuracy per repetition.
 
-    Accuracy is that of ``predicted``, or of deciding at ``decide_at`` if given. Cells of one score range
-    travel once; each repetition is a column of a weight matrix inside the task, and what leaves a task is
-    one row per range and repetition.
+    Accuracy is that of ``predicted``, or of deciding at ``decide_at`` if given. The cells of a score range are shuffled once, into one
+    row that is saved with its resampled totals. Running totals over the ranges then meet the saved rows, whose weights
+    are worked out again from 32 bytes a cell; keeping them would take a byte for each of ``reps``. Inside
+    a task repetitions are columns of blocks that fit a processor's cache.
     """
     groups = list(groups)
     guess = (F.col(score) >= decide_at).cast("int") if decide_at is not None else F.col(predicted)
@@ -138,71 +167,95 @@ def score_bootstrap(df: DataFrame, groups: Sequence[str] = (), reps: int = 1000,
     cells = rows.groupBy(*groups, "threshold", "t", "hit").agg(F.count(F.lit(1)).alias("c"))
     borders = splitters(rows.select(*groups, "threshold"), groups, "threshold", rows_per_bucket)
     drawn = _with_coefficients(bucketed(cells, groups, "threshold", borders), [*groups, "threshold", "t", "hit"], seed)
-
-    # Cells of one bucket lie together, so that a block of cells sums to rows of few buckets before it leaves the task.
-    together = drawn.repartition(*groups, "__bucket").sortWithinPartitions(*groups, "__bucket", "t", "hit")
-    totals = cell_totals(together, [*groups, "__bucket", "t", "hit"], "c", reps)
-    per_bucket = totals.groupBy(*groups, "rep", "__bucket").agg(
-        F.sum(F.when(F.col("t") == 1, F.col("w")).otherwise(0.0)).alias("pos"),
-        F.sum(F.when(F.col("t") == 1, 0.0).otherwise(F.col("w"))).alias("neg"),
-        F.sum(F.when(F.col("hit") == 1, F.col("w")).otherwise(0.0)).alias("hits"))
-    above = W.partitionBy(*groups, "rep").orderBy(F.col("__bucket").desc()).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*groups, "rep")
-    starts = per_bucket.select(
-        *groups, "rep", "__bucket",
-        F.coalesce(F.sum("pos").over(above), F.lit(0.0)).alias("pos_above"),
-        F.coalesce(F.sum("neg").over(above), F.lit(0.0)).alias("neg_above"),
-        F.sum("pos").over(whole).alias("n_pos"), F.sum("neg").over(whole).alias("n_neg"),
-        F.sum("hits").over(whole).alias("hits"))
-
     # The group travels as one text, so that a task never has to compare nulls.
     label_of = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"}) if groups else F.lit("")
-    left = drawn.withColumn("__group", label_of).select("__group", "__bucket", "threshold", "t", "c", "a0", "a1", "a2", "a3")
-    right = starts.withColumn("__group", label_of).select("__group", "__bucket", "rep", "pos_above", "neg_above", "n_pos")
-
     step = max(1, BLOCK // reps)
 
-    def curve_part(cell_rows: pd.DataFrame, start_rows: pd.DataFrame) -> pd.DataFrame:
-        start_rows = start_rows.sort_values("rep")
-        tp, fp = start_rows["pos_above"].to_numpy(), start_rows["neg_above"].to_numpy()
-        need = 0.95
-        n_pos = start_rows["n_pos"].to_numpy()
-        ordered = cell_rows.sort_values(["threshold", "t"], ascending=[False, True])
-        values = ordered["threshold"].to_numpy()
-        is_pos = ordered["t"].to_numpy() == 1
-        counts, coefs = ordered["c"].to_numpy(), _coefs(ordered)
-        gained, reached = np.zeros(reps), np.full(reps, np.inf)
-        starts_at = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-        ends_at = np.r_[starts_at[1:], len(values)]
-        at = 0
-        while at < len(starts_at):
-            stop = max(at + 1, np.searchsorted(ends_at, starts_at[at] + step, side="right"))
-            rows_here = slice(starts_at[at], ends_at[stop - 1])
-            weights = poisson_weights(coefs[rows_here], counts[rows_here], reps)
-            offsets = starts_at[at:stop] - starts_at[at]
-            pos = np.add.reduceat(weights * is_pos[rows_here, None], offsets, axis=0)
-            neg = np.add.reduceat(weights * ~is_pos[rows_here, None], offsets, axis=0)
-            cum_pos, cum_neg = tp + np.cumsum(pos, axis=0), fp + np.cumsum(neg, axis=0)
-            seen = cum_pos + cum_neg
-            gained += np.where(seen > 0, pos * cum_pos / np.where(seen > 0, seen, 1.0), 0.0).sum(axis=0)
-            ok = (pos + neg > 0) & (cum_pos > 0) & (cum_pos / np.where(n_pos > 0, n_pos, 1.0) >= need)
-            reached = np.minimum(reached, np.where(ok, cum_neg, np.inf).min(axis=0))
-            tp, fp, at = cum_pos[-1], cum_neg[-1], stop
-        return pd.DataFrame({"__group": start_rows["__group"].iloc[0], "rep": np.arange(1, reps + 1, dtype=np.int32),
-                             "gain": gained, "neg_at": np.where(np.isinf(reached), np.nan, reached)})
-
-    parts = (left.groupBy("__group", "__bucket").cogroup(right.groupBy("__group", "__bucket"))
-             .applyInPandas(curve_part, "__group string, rep int, gain double, neg_at double"))
-    summed = parts.groupBy("__group", "rep").agg(
-        F.sum("gain").alias("gain"), F.min(F.when(~F.isnan("neg_at"), F.col("neg_at"))).alias("neg_at"))
-    ends = starts.withColumn("__group", label_of).groupBy("__group", *groups, "rep").agg(
-        F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"), F.max("hits").alias("hits"))
-    return ends.join(summed, ["__group", "rep"]).select(
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["threshold", "t", "hit"], ascending=[False, True, True])
+        values, coefs, counts = frame["threshold"].to_numpy(), _coefs(frame), frame["c"].to_numpy()
+        positive, hit = frame["t"].to_numpy() == 1, frame["hit"].to_numpy() == 1
+        sums = np.zeros((3, reps))
+        for low in range(0, len(frame), step):
+            here = slice(low, low + step)
+            weights = poisson_weights(coefs[here], counts[here], reps)
+            for total, chosen in zip(sums, (positive[here], ~positive[here], hit[here])):
+                total += weights[chosen].sum(0)
+        return pd.DataFrame([{
+            "__group": frame["__group"].iloc[0], "__bucket": frame["__bucket"].iloc[0],
+            "begins": np.r_[True, values[1:] != values[:-1]], "positive": positive, "c": counts, "coefs": coefs.ravel(),
+            "pos": sums[0], "neg": sums[1], "hits": sums[2]}])
+
+    packed = saved(drawn.withColumn("__group", label_of).select("__group", "__bucket", "threshold", "t", "hit", "c", "a0", "a1", "a2", "a3")
+                   .groupBy("__group", "__bucket").applyInPandas(pack, PACKED))
+    names = saved(rows.groupBy(*groups).agg(F.lit(1).alias("__one")).withColumn("__group", label_of)) if groups else None
+
+    totals = packed.select("__group", "__bucket", F.posexplode(F.arrays_zip("pos", "neg", "hits")).alias("rep", "x")).select(
+        "__group", "__bucket", (F.col("rep") + 1).alias("rep"), "x.*")
+    above = W.partitionBy("__group", "rep").orderBy(F.col("__bucket").desc()).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("__group", "rep")
+    starts = totals.select(
+        F.col("__group").alias("of"), F.col("__bucket").alias("at"), "rep",
+        F.coalesce(F.sum("pos").over(above), F.lit(0.0)).alias("pos_above"),
+        F.coalesce(F.sum("neg").over(above), F.lit(0.0)).alias("neg_above"), F.sum("pos").over(whole).alias("n_pos"))
+    starts = starts.groupBy("of", "at").agg(F.sort_array(F.collect_list(F.struct("rep", "pos_above", "neg_above", "n_pos"))).alias("s"))
+    starts = starts.select("of", "at", *[F.col(f"s.{c}").alias(c) for c in ("pos_above", "neg_above", "n_pos")])
+    met = packed.drop("pos", "neg", "hits").join(starts, (F.col("__group") == F.col("of")) & (F.col("__bucket") == F.col("at")))
+
+    def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                gained, reached = curve_part(*(np.asarray(x) for x in row[1:]), reps)
+                yield pd.DataFrame({"__group": [row[0]], "gain": [gained], "neg_at": [reached]})
+
+    parts = met.select("__group", "begins", "positive", "c", "coefs", "pos_above", "neg_above", "n_pos").mapInPandas(
+        follow, "__group string, gain array<double>, neg_at array<double>")
+    summed = (parts.select("__group", F.posexplode(F.arrays_zip("gain", "neg_at")).alias("rep", "x"))
+              .groupBy("__group", (F.col("rep") + 1).alias("rep")).agg(
+                  F.sum("x.gain").alias("gain"), F.min(F.when(F.col("x.neg_at") < float("inf"), F.col("x.neg_at"))).alias("neg_at")))
+    ends = totals.groupBy("__group", "rep").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("hits").alias("hits"))
+    found = ends.join(summed, ["__group", "rep"])
+    if names is not None:
+        found = found.join(names, "__group")
+    return found.select(
         *groups, "rep", M.or_zero(M.ratio(F.col("gain"), F.col("n_pos"))).alias("pr_auc"),
         F.when(F.col("n_pos") > 0, M.ratio(F.col("neg_at"), F.col("n_neg"))).alias("fpr95"),
         M.ratio(F.col("hits"), F.col("n_pos") + F.col("n_neg")).alias("accuracy"))
 
 
+def curve_part(begins: np.ndarray, positive: np.ndarray, counts: np.ndarray, coefs: np.ndarray, tp: np.ndarray,
+               fp: np.ndarray, n_pos: np.ndarray, reps: int, need: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
+    """What one score range adds to the sum under the precision curve, and the false positives at its first score that
+    reaches ``need`` (infinite without), per repetition. tp and fp: what lies above the range."""
+    coefs = coefs.reshape(-1, 4)
+    gained, reached, wanted = np.zeros(reps), np.full(reps, np.inf), np.where(n_pos > 0, need * n_pos, np.inf)
+    first = np.flatnonzero(begins)
+    last = np.r_[first[1:], len(begins)]
+    step, at = max(1, BLOCK // reps), 0
+    while at < len(first):
+        stop = max(at + 1, int(np.searchsorted(last, first[at] + step, side="right")))
+        here = slice(first[at], last[stop - 1])
+        weights, is_pos = poisson_weights(coefs[here], counts[here], reps), positive[here]
+        offsets = first[at:stop] - first[at]
+        pos = weights * is_pos[:, None]
+        if len(offsets) < len(weights):
+            pos, weights = np.add.reduceat(pos, offsets, axis=0), np.add.reduceat(weights, offsets, axis=0)
+        cum_pos = np.cumsum(pos, axis=0)
+        cum_pos += tp
+        seen = np.cumsum(weights, axis=0)
+        seen += tp + fp
+        held = np.flatnonzero(pos.any(1))  # scores at which nothing positive is drawn add nothing
+        gained += (pos[held] * cum_pos[held] / np.maximum(seen[held], 1.0)).sum(0)
+        tp, fp = cum_pos[-1], seen[-1] - cum_pos[-1]
+        open_ = np.flatnonzero(np.isinf(reached) & (tp >= wanted * (1 - 1e-12)))
+        if len(open_):
+            share = cum_pos[:, open_] / np.where(n_pos[open_] > 0, n_pos[open_], 1.0)
+            ok = (weights[:, open_] > 0) & (cum_pos[:, open_] > 0) & (share >= need)
+            reached[open_] = np.where(ok, (seen - cum_pos)[:, open_], np.inf).min(0)
+        at = stop
+    return gained, reached
+
+
 def intervals(per_rep: DataFrame, metrics: Sequence[str], groups: Sequence[str] = (),
               undefined: str = "skip") -> DataFrame:
     """``metric, mean, low, high``: mean and the 2.5 and 97.5 percentiles over the repetitions.

@@ -6,14 +6,18 @@ is found from counts over hash prefixes; the rows themselves are then split in p
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from flowlens.functions.hashing import PRIME, coefficients, draw, hash_bucket, row_hash, uniform
+from flowlens.functions.hashing import PRIME, coefficients, draws, hash_bucket, row_hash, uniform
 from flowlens.functions.relational import attach, fitted, join_groups
+from flowlens.session import saved
 
 
 def rank_cuts(placed: DataFrame, strata: Sequence[str], place: Sequence[str], bucket: Column,
@@ -113,24 +117,54 @@ def group_split(df: DataFrame, group: str, test: float = 0.3, seed: int = 7) ->
     return located.withColumn("split", F.when(here <= F.col("cut_0"), "test").otherwise("train")).drop("cut_0")
 
 
+#: Draws worked out at a time inside a task.
+DRAWS = 65_536
+#: Rows of a repetition that one task orders.
+ORDERED = 65_536
+
+
 def calibration_samples(df: DataFrame, k: int, reps: int, seed: int = 7, key: str = "row_id") -> DataFrame:
-    """``k`` rows for each of ``reps`` repetitions, every repetition an independent order of the rows.
+    """``k`` rows for each of ``reps`` repetitions (all rows if there are fewer), every repetition an independent order of
+    the rows.
 
-    One md5 per row gives all its repetition draws as values of a polynomial; ties go by key.
+    One md5 per row gives all its repetition draws as values of a polynomial; ties go by key. A row is written once for each
+    repetition in which its draw lies below a bound. The bound is set so that k draws surely do; where counts
+    show that they don't, it is doubled. Only these rows, little more than the samples themselves, are ordered.
     """
-    hashed = df.withColumn("__c", F.array(*coefficients(row_hash(seed, F.col(key)))))
-    spread = hashed.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    drawn = spread.withColumn("__draw", draw([F.col("__c")[i] for i in range(4)], F.col("rep"))).drop("__c")
-    placed = drawn.select("rep", F.col("__draw"), F.col(key).alias("__key"))
-    # Draws are even, so a bucket this wide holds about k rows. The last bucket takes all the rest and is
-    # ordered only if the k-th row should lie in it.
-    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    width = F.greatest(F.lit(float(PRIME)) * F.lit(float(k)) / F.greatest(rows, F.lit(1)), F.lit(1.0))
-    bucket = F.least(F.floor(F.col("__draw") / width), F.lit(64)).cast("int")
-    cuts = rank_cuts(placed, ["rep"], ["__draw", "__key"], bucket, [F.least(F.lit(k), F.col("n"))])
-    located = attach(drawn, fitted(cuts), ["rep"])
-    here = F.struct(F.col("__draw"), F.col(key).alias("__key"))
-    return located.where(here <= F.col("cut_0")).drop("__draw", "cut_0")
+    rows = df.count()
+    wanted = min(k, rows)
+    bound = PRIME * min(1.0, (wanted + 12 * wanted**0.5 + 12) / max(rows, 1))
+    hashed = df.withColumns({f"__a{i}": c for i, c in enumerate(coefficients(row_hash(seed, F.col(key))))})
+    while True:
+        near = saved(_drawn_below(hashed, df.schema, int(bound), reps))
+        counts = near.groupBy("rep").count().agg(F.count(F.lit(1)).alias("reps"), F.min("count").alias("least")).first()
+        if bound >= PRIME or wanted == 0 or (counts["reps"] == reps and counts["least"] >= wanted):
+            break
+        bound *= 2
+    place = F.struct(F.col("__draw"), F.col(key).alias("__key"))
+    width = max(1, int(bound) // max(1, -(-wanted // ORDERED)))
+    cuts = rank_cuts(near.select("rep", "__draw", F.col(key).alias("__key")), ["rep"], ["__draw", "__key"],
+                     F.floor(F.col("__draw") / width).cast("int"), [F.least(F.lit(k).cast("bigint"), F.col("n"))])
+    return attach(near, fitted(cuts), ["rep"]).where(place <= F.col("cut_0")).drop("__draw", "cut_0")
+
+
+def _drawn_below(hashed: DataFrame, schema: T.StructType, bound: int, reps: int) -> DataFrame:
+    """The rows once for each repetition 1…``reps`` in which they draw ``bound`` or less, with ``rep`` and ``__draw``."""
+    names, step = schema.names, max(1, DRAWS // reps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = np.arange(1, reps + 1)
+        for batch in batches:
+            coefs = np.stack([np.asarray(batch.column(f"__a{i}")) for i in range(4)], 1)
+            for low in range(0, batch.num_rows, step):
+                drawn = draws(coefs[low:low + step], points)
+                row, rep = np.nonzero(drawn <= bound)
+                kept = batch.select(names).take(pa.array(row + low))
+                yield pa.RecordBatch.from_arrays(
+                    [*kept.columns, pa.array(rep + 1, pa.int32()), pa.array(drawn[row, rep], pa.int64())], [*names, "rep", "__draw"])
+
+    out = T.StructType([*schema.fields, T.StructField("rep", T.IntegerType()), T.StructField("__draw", T.LongType())])
+    return hashed.mapInArrow(run, out)
 
 
 def subsample(df: DataFrame, n: int, key: str = "row_id", seed: int = 7) -> DataFrame:

@@ -604,12 +604,17 @@ CI_SQL = """SELECT {lead}metric, round(avg(v), 6) AS mean, round(quantile_cont(v
   round(quantile_cont(v, 0.975), 6) AS high FROM ({long}) GROUP BY {lead}metric"""
 
 
+#: A score in whole and 2^-40 parts of 1e-9 units.
+SCORE_TEXT = ("CAST(floor(y_score * 1e9) AS BIGINT)::VARCHAR || '.' || "
+              "CAST(floor((y_score * 1e9 - floor(y_score * 1e9)) * 1099511627776.0e0) AS BIGINT)::VARCHAR")
+
+
 def score_ci_sql(view: str, hit: str, reps: int, group: str = "") -> str:
     lead, by = (f"{group}, ", f"{group}, ") if group else ("", "")
     gkey = f"{group} || ':' || " if group else ""
     long = " UNION ALL ".join(f"SELECT {lead}'{m}' AS metric, {m} AS v FROM per_rep" for m in ("pr_auc", "fpr95", "accuracy"))
     return f""", cells AS (SELECT {lead}y_score, y_true AS t, ({hit})::INT AS hit, CAST(count(*) AS BIGINT) AS c FROM {view} GROUP BY ALL),
-{weights_sql('drawn', 'cells', f"'7:' || {gkey}CAST(CAST(round(y_score * 1e9) AS BIGINT) AS VARCHAR) || ':' || t || ':' || hit", reps)},
+{weights_sql('drawn', 'cells', f"'7:' || {gkey}{SCORE_TEXT} || ':' || t || ':' || hit", reps)},
 s AS (SELECT {lead}rep, y_score, sum(CASE WHEN t = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN t = 1 THEN 0 ELSE w END) AS neg,
   sum(w * hit) AS hits FROM drawn GROUP BY {by}rep, y_score),
 cur AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER p AS n_pos, sum(neg) OVER p AS n_neg FROM s

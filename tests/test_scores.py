@@ -1,6 +1,8 @@
 """Curves, thresholds, splits and bootstrap on small fixtures, against hand values and brute force."""
 
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -265,3 +267,86 @@ def test_registered_few_shot_has_fifty_repetitions(spark):
     assert QUERIES["th_9_few_shot_summary"](spark, folder).first().reps == 50
     sizes = QUERIES["sp_9_calibration_samples"](spark, folder).groupBy("rep").count().collect()
     assert {(r.rep, r["count"]) for r in sizes} == {(i, 500) for i in range(1, 51)}
+
+
+def test_every_repetition_has_the_rows_of_its_lowest_draws(spark):
+    """k up to half the rows and beyond all of them, ties in draws and keys included, against plain orders of the draws."""
+    from flowlens.functions.hashing import PRIME, coefficients, draws, row_hash
+    df = spark.range(1000).select(F.concat(F.lit("r"), F.col("id") % 900).alias("row_id"), (F.col("id") * 1.0).alias("v")).repartition(5)
+    rows = df.withColumns({f"a{i}": c for i, c in enumerate(coefficients(row_hash(7, F.col("row_id"))))}).collect()
+    coefs = np.array([[r.a0, r.a1, r.a2, r.a3] for r in rows])
+    exact = [[((((int(c[3]) * x + int(c[2])) % PRIME) * x + int(c[1])) % PRIME * x + int(c[0])) % PRIME for x in (1, 2, 1999, 4000)] for c in coefs]
+    assert draws(coefs, np.array([1, 2, 1999, 4000])).tolist() == exact
+    drawn = draws(coefs, np.arange(1, 5))
+    for k in (1, 40, 500, 999, 5000):
+        got = SP.calibration_samples(df, k, 4).groupBy("rep").agg(F.sort_array(F.collect_list("row_id")).alias("ids")).collect()
+        assert sorted(r["rep"] for r in got) == [1, 2, 3, 4]
+        for r in got:
+            order = sorted((int(drawn[i, r["rep"] - 1]), row.row_id) for i, row in enumerate(rows))
+            cut = order[min(k, 1000) - 1]
+            assert r["ids"] == sorted(key for d, key in order if (d, key) <= cut)
+    assert SP.calibration_samples(df.limit(0), 5, 3).count() == 0
+
+
+def test_a_bound_that_is_too_low_is_widened(spark, monkeypatch):
+    df = spark.range(300).select(F.col("id").cast("string").alias("row_id"))
+    want = sorted(tuple(r) for r in SP.calibration_samples(df, 20, 5).select("rep", "row_id").collect())
+    monkeypatch.setattr(SP, "ORDERED", 7)
+    real, tried = SP._drawn_below, []
+
+    def low_at_first(hashed, schema, bound, reps):
+        tried.append(bound)
+        return real(hashed, schema, bound // 64 if len(tried) == 1 else bound, reps)
+
+    monkeypatch.setattr(SP, "_drawn_below", low_at_first)
+    assert sorted(tuple(r) for r in SP.calibration_samples(df, 20, 5).select("rep", "row_id").collect()) == want
+    assert len(tried) == 2
+
+
+def plain_bootstrap(cells, reps, need=0.95):
+    """cells: score, t, hit, weights of all repetitions."""
+    out = []
+    for r in range(reps):
+        pos, neg, hits = Counter(), Counter(), 0.0
+        for score, t, hit, w in cells:
+            (pos if t else neg)[score] += w[r]
+            hits += w[r] * hit
+        n_pos, n_neg, tp, fp, gain, fpr = sum(pos.values()), sum(neg.values()), 0.0, 0.0, 0.0, None
+        for score in sorted({*pos, *neg}, reverse=True):
+            tp, fp = tp + pos[score], fp + neg[score]
+            if pos[score] + neg[score] > 0:
+                gain += pos[score] * tp / (tp + fp)
+                if fpr is None and tp > 0 and tp / n_pos >= need:
+                    fpr = fp
+        out.append((gain / n_pos if n_pos else 0.0, None if fpr is None or not n_neg else fpr / n_neg,
+                    hits / (n_pos + n_neg) if n_pos + n_neg else None))
+    return out
+
+
+def test_score_bootstrap_matches_a_plain_one_for_any_score(spark):
+    """Infinite, huge, tiny, negative and nearly equal scores; every range boundary; ties."""
+    values = [math.inf, -math.inf, 1e300, -1e300, 1e12, 1e12 + 1, 5e-324, 0.0, -0.25, 1e-12, 2e-12, 0.5, 0.5 + 2**-52, 0.5 + 2**-51]
+    rng = random.Random(5)
+    rows = [(rng.choice(values), rng.randint(0, 1)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "y_score double, y_true int").withColumn("y_pred", F.lit(1))
+    cells = df.groupBy(F.col("y_score").alias("threshold"), F.col("y_true").alias("t"), (F.col("y_true") == 1).cast("int").alias("hit")).count()
+    drawn = B._with_coefficients(cells, ["threshold", "t", "hit"], 7).collect()
+    assert len({(r.a0, r.a1) for r in drawn}) == len(drawn)  # no two cells share their draws
+    reps = 40
+    weights = B.poisson_weights(np.array([[r.a0, r.a1, r.a2, r.a3] for r in drawn]), np.array([r["count"] for r in drawn]), reps)
+    want = plain_bootstrap([(r.threshold, r.t, r.hit, w) for r, w in zip(drawn, weights)], reps)
+    for size in (2, 1000):
+        got = B.score_bootstrap(df, reps=reps, rows_per_bucket=size).orderBy("rep").collect()
+        assert [r["rep"] for r in got] == list(range(1, reps + 1))
+        for r, w in zip(got, want):
+            assert (r.pr_auc, r.accuracy) == pytest.approx((w[0], w[2])) and (r.fpr95 is None) == (w[1] is None)
+            assert w[1] is None or r.fpr95 == pytest.approx(w[1])
+
+
+@pytest.mark.parametrize("mean", [1, 2, 30, 5000])
+def test_whole_number_limits_are_the_steps_of_the_distribution(mean):
+    first, steps = B.poisson_steps(mean)
+    start, limits = B.poisson_limits(mean)
+    draws = np.unique(np.clip(np.concatenate([limits.astype(np.int64) + d for d in (-1, 0, 1)] + [np.arange(50)]), 0, B.PRIME - 1))
+    want = first + np.searchsorted(steps, (draws + 0.5) / B.PRIME, side="left")
+    assert start == first and (start + np.searchsorted(limits, draws.astype(np.uint32), side="right") == want).all()
