@@ -21,6 +21,16 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df
 
 
+def required_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``name, present, filled`` of every required column: whether the table has it, and in how many rows it has a value."""
+    have = [name for name in names if name in df.columns]
+    counted = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(have)])
+    filled = {c: F.col(f"n{i}") for i, c in enumerate(have)}
+    return counted.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.lit(c in filled).alias("present"), filled.get(c, F.lit(0).cast("bigint")).alias("filled"))
+        for c in names])))
+
+
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join on ``keys`` in which a null key matches a null key; the keys of ``left`` are kept."""
     renamed = right.withColumnsRenamed({key: f"__r_{key}" for key in keys})

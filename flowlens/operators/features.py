@@ -20,6 +20,15 @@ def split_by_type(df: DataFrame, leave_out: Sequence[str] = ()) -> tuple[list[st
     return numeric, [f.name for f in fields if f.name not in numeric]
 
 
+def column_kinds(df: DataFrame, leave_out: Sequence[str] = ()) -> DataFrame:
+    """``name, kind, filled`` of every column: ``num`` or ``cat``, and in how many rows it has a value."""
+    numeric, other = split_by_type(df, leave_out)
+    kinds = dict.fromkeys(numeric, "num") | dict.fromkeys(other, "cat")
+    counted = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(kinds)])
+    return counted.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(k).alias("kind"), F.col(f"n{i}").alias("filled"))
+                                             for i, (c, k) in enumerate(kinds.items())])))
+
+
 def numeric_only(df: DataFrame, leave_out: Sequence[str] = ()) -> DataFrame:
     return df.select(*split_by_type(df, leave_out)[0])
 

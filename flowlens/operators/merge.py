@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -103,5 +103,29 @@ def content_row_id(df: DataFrame, columns: Sequence[str], into: str = "row_id")
     return df.withColumn(into, row_hash(0, *parts))
 
 
+def with_positions(spark: SparkSession, path: str, into: str = "row_id") -> DataFrame:
+    """A Parquet table with every row's position from 0, in the order of its files' paths and of the rows in them.
+
+    Spark numbers the rows of a file as it reads them; the counts of the files before are added. So equal rows keep keys of their
+    own, in every run and under any partitioning, as long as the files stay. Counting reads no column.
+    """
+    own, file, start = (f"__{n}_{into}" for n in ("own", "file", "start"))
+    table = spark.read.parquet(path)
+    rows = table.select("*", F.col("_metadata.row_index").alias(own), F.col("_metadata.file_path").alias(file))
+    # One row for each file, which Spark's listing of them on the driver holds too.
+    before = W.orderBy(file).rowsBetween(W.unboundedPreceding, -1)
+    files = rows.groupBy(file).agg(F.count(F.lit(1)).alias(start))
+    starts = fitted(files.select(F.col(file).alias(f"{file}_of"), F.coalesce(F.sum(start).over(before), F.lit(0)).alias(start)))
+    return (rows.join(starts, F.col(file) == F.col(f"{file}_of"))
+            .select(*[F.col(f"`{c}`") for c in table.columns if c != into], (F.col(start) + F.col(own)).alias(into)))
+
+
+def zipped(left: DataFrame, right: DataFrame, key: str = "row_id") -> DataFrame:
+    """Rows of two tables side by side by position; the longer table's rest is left out. Columns of ``right`` that ``left``
+    has too keep the left's values."""
+    own = [c for c in right.columns if c == key or c not in left.columns]
+    return left.join(right.select(*[F.col(f"`{c}`") for c in own]), key)
+
+
 def duplicate_keys(df: DataFrame, key: str = "row_id") -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.functions.relational import finite, join_groups, ratio, unpivot
-from flowlens.operators.merge import top_values
-from flowlens.operators.ordered import exact_quantiles, position, running, search_steps
+from flowlens.operators.ordered import grid_points, position, running, search_steps
 from flowlens.schemas import FLOW_NUMERIC, LABEL_COLUMNS
+from flowlens.session import saved
 
 
 def common_columns(ref: DataFrame, tgt: DataFrame) -> tuple[list[str], list[str]]:
@@ -39,29 +39,43 @@ def long_numbers(ref: DataFrame, tgt: DataFrame, columns: Sequence[str]) -> Data
     return one(ref, 1).unionByName(one(tgt, 0)).where(F.col("value").isNotNull())
 
 
+def summed(values: DataFrame) -> DataFrame:
+    """``feature, value`` with ``ref`` and ``tgt``, how often either side has it, their running sums ``…_cum`` in ascending
+    order and their totals ``…_all``; saved. Quantile edges, bins, KS and means are all read off this one table.
+    """
+    counts = saved(values.groupBy("feature", "value").agg(
+        F.sum("is_ref").alias("ref"), F.sum(1 - F.col("is_ref")).alias("tgt")))
+    return saved(running(counts, counts.select("feature", "value"), ["feature"], "value", ["ref", "tgt"], descending=False))
+
+
 def psi(values: DataFrame, bins: int = 10, eps: float = 1e-6, min_n: int = 50) -> DataFrame:
     """Population stability index per feature over ``bins`` quantile bins of the reference.
 
     Null with fewer than ``min_n`` values on a side or fewer than three distinct edges. Target values
     outside the reference range fall in no bin; the last bin is closed.
     """
-    cuts = exact_quantiles(values.where("is_ref = 1"), ["feature"], "value", bins)
+    return psi_of(summed(values), bins, eps, min_n)
+
+
+def psi_of(sums: DataFrame, bins: int = 10, eps: float = 1e-6, min_n: int = 50) -> DataFrame:
+    """``psi`` from the table of ``summed``."""
+    cuts = grid_points(sums.where("ref > 0"), ["feature"], "value", F.col("ref_cum") - F.col("ref"), F.col("ref"), F.col("ref_all"), bins)
     # One row per feature, at most bins + 1 numbers each: the schema bounds it, so it may be broadcast.
     edges = cuts.groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias("edges"))
     edges = F.broadcast(edges.withColumn("steps", search_steps("edges")))
-    placed = join_groups(values, edges, ["feature"], "left")
+    placed = join_groups(sums.select("feature", "value", "ref", "tgt"), edges, ["feature"], "left")
     within = (F.col("value") >= F.element_at("edges", 1)) & (F.col("value") <= F.element_at("edges", -1))
     at = F.least(position("value", "edges", "steps"), F.size("edges") - 1)
     binned = placed.withColumn("bin", F.when(F.col("edges").isNotNull() & within, at))
 
     # Counted per bin before the shuffle; what is gathered per feature is at most one count per side and bin.
-    cells = binned.groupBy("feature", "is_ref", "bin").agg(F.count(F.lit(1)).alias("n"),
-                                                           F.max(F.size("edges") - 1).alias("k"))
+    cells = binned.groupBy("feature", "bin").agg(F.sum("ref").alias("n_1"), F.sum("tgt").alias("n_0"),
+                                                 F.max(F.size("edges") - 1).alias("k"))
     counts = cells.groupBy("feature").agg(
         F.max("k").alias("k"),
-        *[F.expr(f"coalesce(sum(if(is_ref = {side}, n, 0)), 0) AS n_{side}") for side in (1, 0)],
-        *[F.expr(f"greatest(sum(if(is_ref = {side} AND bin IS NOT NULL, n, 0)), 1) AS inside_{side}") for side in (1, 0)],
-        *[F.expr(f"map_from_entries(collect_list(if(is_ref = {side} AND bin IS NOT NULL, struct(bin, n), null))) "
+        *[F.sum(f"n_{side}").alias(f"n_{side}") for side in (1, 0)],
+        *[F.expr(f"greatest(sum(if(bin IS NOT NULL, n_{side}, 0)), 1) AS inside_{side}") for side in (1, 0)],
+        *[F.expr(f"map_from_entries(collect_list(if(bin IS NOT NULL, struct(bin, n_{side}), null))) "
                  f"AS bins_{side}") for side in (1, 0)])
 
     def share(side: int) -> str:
@@ -73,13 +87,18 @@ def psi(values: DataFrame, bins: int = 10, eps: float = 1e-6, min_n: int = 50) -
     return counts.withColumn("shares", shares).select("feature", F.when(enough, index).alias("psi"))
 
 
+def _ks() -> Column:
+    """Over the table of ``summed``; null if a side is empty."""
+    return F.max(F.abs(ratio(F.col("ref_cum"), F.col("ref_all")) - ratio(F.col("tgt_cum"), F.col("tgt_all")))).alias("ks")
+
+
+def _means() -> list[Column]:
+    return [ratio(F.sum(F.col("value") * F.col(side)), F.sum(side)).alias(f"mean_{side}") for side in ("ref", "tgt")]
+
+
 def ks(values: DataFrame) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic per feature; null if a side is empty."""
-    counts = values.groupBy("feature", "value").agg(
-        F.sum("is_ref").alias("ref"), F.sum(1 - F.col("is_ref")).alias("tgt"))
-    summed = running(counts, values.select("feature", "value"), ["feature"], "value", ["ref", "tgt"], descending=False)
-    gap = F.abs(ratio(F.col("ref_cum"), F.col("ref_all")) - ratio(F.col("tgt_cum"), F.col("tgt_all")))
-    return summed.groupBy("feature").agg(F.max(gap).alias("ks"))
+    return summed(values).groupBy("feature").agg(_ks())
 
 
 def means(values: DataFrame) -> DataFrame:
@@ -87,12 +106,19 @@ def means(values: DataFrame) -> DataFrame:
                                          F.avg(F.when(F.col("is_ref") == 0, F.col("value"))).alias("mean_tgt"))
 
 
+def number_shift(ref: DataFrame, tgt: DataFrame, columns: Sequence[str], bins: int = 10, eps: float = 1e-6,
+                 min_n: int = 50) -> DataFrame:
+    """``feature, psi, ks, mean_ref, mean_tgt`` with one scan of either table."""
+    sums = summed(long_numbers(ref, tgt, columns))
+    return psi_of(sums, bins, eps, min_n).join(sums.groupBy("feature").agg(_ks(), *_means()), "feature")
+
+
 def total_variation(ref: DataFrame, tgt: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Half the summed difference of category shares; a missing value is a category of its own."""
     def one(df: DataFrame, is_ref: int) -> DataFrame:
         return unpivot(df, columns, "string", value="category").withColumn("is_ref", F.lit(is_ref))
-    counts = (one(ref, 1).unionByName(one(tgt, 0)).groupBy("feature", "category")
-              .agg(F.sum("is_ref").alias("ref"), F.sum(1 - F.col("is_ref")).alias("tgt")))
+    counts = saved(one(ref, 1).unionByName(one(tgt, 0)).groupBy("feature", "category")
+                   .agg(F.sum("is_ref").alias("ref"), F.sum(1 - F.col("is_ref")).alias("tgt")))
     # One row per feature: bounded by the schema.
     totals = F.broadcast(counts.groupBy("feature").agg(F.sum("ref").alias("n_ref"), F.sum("tgt").alias("n_tgt")))
     shares = counts.join(totals, "feature")
@@ -110,8 +136,7 @@ def shift_report(ref: DataFrame, tgt: DataFrame, bins: int = 10, eps: float = 1e
     empty = F.lit(None).cast("double")
     parts = []
     if numeric:
-        values = long_numbers(ref, tgt, numeric)
-        parts.append(psi(values, bins, eps, min_n).join(ks(values), "feature").join(means(values), "feature").select(
+        parts.append(number_shift(ref, tgt, numeric, bins, eps, min_n).select(
             "feature", F.lit("num").alias("type"), "psi", "ks", empty.alias("tv"), "mean_ref", "mean_tgt"))
     if categorical:
         parts.append(total_variation(ref, tgt, categorical).select(
@@ -142,26 +167,23 @@ def verdict(report: DataFrame, large: float = 0.25, moderate: float = 0.1) -> Da
 def equivalence_report(ref: DataFrame, tgt: DataFrame, columns: Sequence[str] = FLOW_NUMERIC) -> DataFrame:
     """Numeric shift of two captures with PSI clipped at 1e-8 and no minimum size, most shifted first."""
     shared = [c for c in columns if c in ref.columns and c in tgt.columns]
-    values = long_numbers(ref, tgt, shared)
-    found = psi(values, eps=1e-8, min_n=1).join(ks(values), "feature").join(means(values), "feature")
+    found = number_shift(ref, tgt, shared, eps=1e-8, min_n=1)
     return found.orderBy(F.col("psi").desc_nulls_last(), F.col("ks").desc_nulls_last(), "feature")
 
 
 def equivalence_counts(ref: DataFrame, tgt: DataFrame, columns: Sequence[str] = ("proto", "state"),
                        k: int = 10) -> DataFrame:
-    """Row counts of both captures and their most frequent values, as ``side, column, value, n``."""
-    def side(df: DataFrame, name: str) -> list[DataFrame]:
-        rows = df.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("side"), F.lit("rows").alias("column"), F.lit(None).cast("string").alias("value"), "n")
-        tops = [top_values(df, c, k).select(F.lit(name).alias("side"), F.lit(c).alias("column"),
-                                            F.col(c).cast("string").alias("value"), "n")
-                for c in columns if c in ref.columns and c in tgt.columns]
-        return [rows, *tops]
-    tables = side(ref, "ref") + side(tgt, "tgt")
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+    """Row counts of both captures and their most frequent values, as ``side, column, value, n``; one scan of either."""
+    shared = [c for c in columns if c in ref.columns and c in tgt.columns]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        named = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in shared]
+        every = F.struct(F.lit("rows").alias("column"), F.lit(None).cast("string").alias("value"))
+        return df.select(F.lit(name).alias("side"), F.inline(F.array(every, *named)))
+
+    counts = side(ref, "ref").unionByName(side(tgt, "tgt")).groupBy("side", "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy("side", "column").orderBy(F.col("n").desc(), F.col("value").asc_nulls_first())
+    return counts.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= k).drop("__place")
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens.functions import cleaning as C
+from flowlens.functions.relational import require_columns, required_columns
 from flowlens.operators import cleaning as CL
 from flowlens.operators import features as FT
 from flowlens.operators import flows as FL
@@ -378,9 +379,9 @@ def _(spark, d):
 @query("mg_6_day_statistics", """, c AS (SELECT day, trim("Label") AS label_name, count(*) AS n FROM day_flows GROUP BY 1, 2)
 SELECT day, label_name, CAST(n AS BIGINT) AS n, CAST(sum(n) OVER (PARTITION BY day) AS BIGINT) AS day_n,
   round(sum(CASE WHEN upper(label_name) <> 'BENIGN' THEN n ELSE 0 END) OVER (PARTITION BY day) / (sum(n) OVER (PARTITION BY day))::DOUBLE, 6) AS attack_ratio,
-  CAST(row_number() OVER (PARTITION BY day ORDER BY n DESC, label_name) AS INTEGER) AS place FROM c QUALIFY place <= 3""", "day_flows")
+  CAST(row_number() OVER (PARTITION BY day ORDER BY n DESC, label_name) AS INTEGER) AS place FROM c QUALIFY place <= 15""", "day_flows")
 def _(spark, d):
-    return rounded(MG.day_statistics(V.day_flows(spark, d), top=3))
+    return rounded(MG.day_statistics(V.day_flows(spark, d)))
 
 
 @query("mg_7_crosstab", "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2")
@@ -405,6 +406,20 @@ def _(spark, d):
     return count_of(MG.content_row_id(V.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]), "row_id")
 
 
+@query("mg_9_positions", """SELECT row_number() OVER () - 1 AS row_id, l_returnflag, l_linenumber FROM lineitem""")
+def _(spark, d):
+    """Positions tell rows apart that are equal in every column kept."""
+    return MG.with_positions(spark, f"{d}/lineitem.parquet").select("row_id", "l_returnflag", "l_linenumber")
+
+
+@query("sl_5_zipped", """WITH a AS (SELECT row_number() OVER () - 1 AS row_id, o_orderstatus AS y_true FROM orders),
+b AS (SELECT row_number() OVER () - 1 AS row_id, c_acctbal AS y_score FROM customer) SELECT row_id, y_true, y_score FROM a JOIN b USING (row_id)""")
+def _(spark, d):
+    truth = MG.with_positions(spark, f"{d}/orders.parquet").select("row_id", F.col("o_orderstatus").alias("y_true"))
+    scores = MG.with_positions(spark, f"{d}/customer.parquet").select("row_id", F.col("c_acctbal").alias("y_score"))
+    return MG.zipped(truth, scores)
+
+
 @query("mg_9_duplicate_keys", """SELECT l_orderkey AS row_id, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1""")
 def _(spark, d):
     return MG.duplicate_keys(V.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "row_id"))
@@ -479,9 +494,9 @@ def _(spark, d):
 
 @query("sh_7_top_shifts", REPORT_SQL + """, keyed AS (SELECT *, CASE WHEN type = 'num' THEN coalesce(psi, 0) * 10 + coalesce(ks, 0) ELSE coalesce(tv, 0) END AS rank_key FROM report)
 SELECT feature, type, round(rank_key, 6) AS rank_key, CAST(row_number() OVER (PARTITION BY type ORDER BY keyed.rank_key DESC, feature) AS INTEGER) AS place
-FROM keyed QUALIFY place <= 2""", "ref tgt")
+FROM keyed QUALIFY place <= 25""", "ref tgt")
 def _(spark, d):
-    top = SH.top_shifts(SH.shift_report(V.ref_orders(spark, d), V.tgt_orders(spark, d)), 2)
+    top = SH.top_shifts(SH.shift_report(V.ref_orders(spark, d), V.tgt_orders(spark, d)))
     return rounded(top.select("feature", "type", "rank_key", "place"))
 
 
@@ -496,10 +511,10 @@ def _(spark, d):
 c AS (SELECT side, 'status' AS "column", status AS value, count(*) AS n FROM v GROUP BY ALL
   UNION ALL SELECT side, 'priority', priority, count(*) FROM v GROUP BY ALL)
 SELECT side, 'rows' AS "column", NULL AS value, CAST(count(*) AS BIGINT) AS n FROM v GROUP BY side
-UNION ALL SELECT side, "column", value, CAST(n AS BIGINT) FROM c QUALIFY row_number() OVER (PARTITION BY side, "column" ORDER BY n DESC, value NULLS FIRST) <= 3""",
+UNION ALL SELECT side, "column", value, CAST(n AS BIGINT) FROM c QUALIFY row_number() OVER (PARTITION BY side, "column" ORDER BY n DESC, value NULLS FIRST) <= 10""",
        "ref tgt")
 def _(spark, d):
-    return SH.equivalence_counts(V.ref_orders(spark, d), V.tgt_orders(spark, d), ["status", "priority"], 3)
+    return SH.equivalence_counts(V.ref_orders(spark, d), V.tgt_orders(spark, d), ["status", "priority"])
 
 
 @query("sh_9_verdict", REPORT_SQL + """ SELECT round(max(psi), 6) AS max_psi, round(max(ks), 6) AS max_ks, CASE WHEN max(psi) > 0.25 THEN 'large'
@@ -539,13 +554,18 @@ GAPS = """WITH gaps AS (SELECT l_orderkey AS k, CASE WHEN l_linenumber <> 3 THEN
 MEDIANS = """(SELECT median(sbytes) FROM gaps) AS m1, (SELECT median(spkts) FROM gaps WHERE isfinite(spkts)) AS m2"""
 
 
-@query("ft_1_column_kinds", "SELECT 'num' AS kind, unnest(['flat', 'k', 'sbytes', 'spkts', 'void']) AS name UNION ALL SELECT 'cat', unnest(['proto', 'state'])")
+@query("ft_1_column_kinds", GAPS + """, c AS (SELECT count(k) AS k, count(sbytes) AS sbytes, count(spkts) AS spkts, count(void) AS void, count(flat) AS flat,
+  count(state) AS state, count(proto) AS proto FROM gaps)
+SELECT name, CASE WHEN name IN ('state', 'proto') THEN 'cat' ELSE 'num' END AS kind, filled FROM c UNPIVOT (filled FOR name IN (k, sbytes, spkts, void, flat, state, proto))""")
 def _(spark, d):
-    rows = _gaps(spark, d)
-    numeric, other = FT.split_by_type(rows)
-    present = rows.limit(1).agg(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("name"))
-                                          for kind, names in (("num", numeric), ("cat", other)) for n in names]).alias("x"))
-    return present.select(F.inline("x"))
+    return FT.column_kinds(_gaps(spark, d))
+
+
+@query("io_16_required_columns", GAPS + """ SELECT 'sbytes' AS name, true AS present, count(sbytes) AS filled FROM gaps UNION ALL SELECT 'void', true, count(void) FROM gaps
+UNION ALL SELECT 'saddr', false, 0""")
+def _(spark, d):
+    """The check before a job; ``require_columns`` refuses a table that lacks any."""
+    return required_columns(require_columns(_gaps(spark, d), ["sbytes", "void"]), ["sbytes", "void", "saddr"])
 
 
 @query("ft_2_numeric_only", GAPS + " SELECT k, sbytes, flat, void, CASE WHEN isfinite(spkts) THEN spkts ELSE -1 END AS spkts FROM gaps")

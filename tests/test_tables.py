@@ -230,3 +230,33 @@ def test_classifiers_learn_a_separable_table(spark):
     assert again.count() == 400 and again.columns == ["row_id", "y_score", "y_pred"]
     best, _, grid = ML.best_by_validation(df, df, ML.logistic, [1, 10], ["dur"])
     assert best in (1, 10) and grid.count() == 2
+
+
+# --- positions and checks -----------------------------------------------------------------------------
+
+def test_positions_of_equal_rows_over_many_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).select(F.lit("same").alias("a"), (F.col("id") % 3).alias("b")).repartition(7).write.parquet(path)
+    spark.createDataFrame([], "a string, b bigint").write.mode("append").parquet(path)
+    one = [tuple(r) for r in MG.with_positions(spark, path).collect()]
+    assert sorted(r[2] for r in one) == list(range(1000))
+    assert sorted(one) == sorted(tuple(r) for r in MG.with_positions(spark, path).repartition(3).collect())
+    files = sorted({r["f"] for r in spark.read.parquet(path).select(F.input_file_name().alias("f")).collect()})
+    want = [tuple(r) for f in files for r in spark.read.parquet(f).coalesce(1).collect()]
+    assert [r[:2] for r in sorted(one, key=lambda r: r[2])] == want
+
+
+def test_zip_stops_at_the_shorter_table(spark, tmp_path):
+    for name, n in (("x", 5), ("y", 3)):
+        spark.range(n).select(F.col("id").alias(name), F.lit(name).alias("both")).coalesce(1).write.parquet(str(tmp_path / name))
+    x, y = (MG.with_positions(spark, str(tmp_path / n)) for n in "xy")
+    for a, b in ((x, y), (y, x)):
+        got = MG.zipped(a, b).orderBy("row_id").collect()
+        assert [(r.row_id, r.x, r.y) for r in got] == [(i, i, i) for i in range(3)] and {r.both for r in got} == {a.first().both}
+
+
+def test_column_kinds_and_required_columns(spark):
+    from flowlens.functions.relational import required_columns
+    df = spark.createDataFrame([(1, None, True, "a"), (2, 2.0, None, None)], "i int, d double, `b.x` boolean, s string")
+    assert [tuple(r) for r in FT.column_kinds(df, ["i"]).collect()] == [("d", "num", 1), ("b.x", "num", 1), ("s", "cat", 1)]
+    assert [tuple(r) for r in required_columns(df.limit(0), ["s", "none"]).collect()] == [("s", True, 0), ("none", False, 0)]
