@@ -280,6 +280,31 @@ def _(spark, d):
     return rounded(latest.withColumn("win_start", F.unix_seconds("win_start")))
 
 
+#: The run in which a packet arrives: six days to a run, some one or two runs late.
+RUN = "least(4, CAST(floor((day(ts) - 1) / 6) AS INT) + CASE WHEN packet_id % 41 = 0 THEN 2 WHEN packet_id % 17 = 0 THEN 1 ELSE 0 END)"
+
+
+@query("st_1_late_packets", f""", {ENDPOINTS}, w AS (SELECT *, CAST(trunc(t * 1000000) AS BIGINT) AS us, {RUN} AS run FROM ends),
+s AS (SELECT min(us) AS start FROM w WHERE run = 0), m AS (SELECT run, max(us) AS top FROM w GROUP BY run),
+k AS (SELECT r.run, max(m.top) // 1000 * 1000 - 43200000000 AS mark FROM range(1, 6) r(run) JOIN m ON m.run < r.run GROUP BY r.run),
+v AS (SELECT w.*, CAST(floor((us - start) / 3600000000) AS BIGINT) AS win, start FROM w, s),
+kept AS (SELECT v.* FROM v LEFT JOIN k USING (run) WHERE mark IS NULL OR start + (win + 1) * 3600000000 > mark)
+SELECT round(max(t) - min(t), 6) AS dur, protocol AS proto, saddr, coalesce(sport, '0') AS sport, daddr, coalesce(dport, '0') AS dport,
+  CAST(count(*) AS BIGINT) AS spkts, CAST(0 AS BIGINT) AS dpkts, CAST(sum(flen) AS BIGINT) AS sbytes, CAST(0 AS BIGINT) AS dbytes, 'OK' AS state, win
+FROM kept WHERE start + (win + 1) * 3600000000 <= (SELECT mark FROM k WHERE run = 5) GROUP BY protocol, saddr, sport, daddr, dport, win""", "packets")
+def _(spark, d):
+    """A capture in five runs, each a restart from the checkpoint; what is late by SQL is dropped, closed windows are appended."""
+    source, target, state = (scratch_path(spark, n) for n in ("packets", "flows", "state"))
+    packets = V.packets(spark, d).withColumn("run", F.expr(RUN))
+    for run in range(5):
+        packets.where(F.col("run") == run).drop("run", "ts").coalesce(4).write.mode("append").parquet(source)
+        arrived = spark.read.parquet(source)
+        start = ST.capture_start(arrived, f"{state}-start")
+        flows = ST.capture_flows(ST.packet_stream(spark, source, arrived.schema), start, 3600, "12 hours")
+        ST.run_available(flows, target, state, mode="append")
+    return rounded(spark.read.parquet(target).drop("batch_id"))
+
+
 NUMERIC, TEXT = ["dur", "spkts", "sbytes"], ["proto", "state"]
 #: Enough for a split between any two values of the packets and bytes below.
 BINS = 128
