@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.relational import attach, fitted, ratio
 from flowlens.operators.ordered import ROWS_PER_BUCKET, grid_points, running
+from flowlens.session import saved
 
 INF = float("inf")
 
@@ -43,9 +44,9 @@ def score_curve(df: DataFrame, groups: Sequence[str] = (), score: str = "y_score
     Columns: ``groups``, ``threshold``, ``pos``/``neg`` at the score, ``tp``/``fp`` at or above it,
     ``n_pos``/``n_neg`` of the group, and ``tpr``, ``fpr``, ``precision``.
     """
-    counts = score_counts(df, groups, score, label, weight)
-    source = scored_rows(df, groups, score, label).drop(label)
-    summed = running(counts, source, groups, "threshold", ["pos", "neg"], look_ahead=look_ahead,
+    # Read once; the ranges of scores are then found and summed from the saved counts.
+    counts = saved(score_counts(df, groups, score, label, weight))
+    summed = running(counts, counts.select(*groups, "threshold"), groups, "threshold", ["pos", "neg"], look_ahead=look_ahead,
                      rows_per_bucket=rows_per_bucket)
     named = summed.withColumnsRenamed({"pos_cum": "tp", "neg_cum": "fp", "pos_all": "n_pos", "neg_all": "n_neg"})
     return named.withColumns({

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowlens.functions.relational import attach, join_groups
+from flowlens.session import saved
 
 ROWS_PER_BUCKET = 65_536
 MAX_BUCKETS = 262_144
@@ -162,14 +163,14 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, parts: int,
                     rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Exact quantiles at 0/parts … parts/parts of every group: ``keys + (step, quantile)``.
 
-    Rows are first only counted per bucket. Then just the buckets that hold a wanted rank are shuffled
-    and ordered; for a median that is one or two buckets out of thousands. Null values are skipped.
+    The table is read once, into saved counts of its distinct values. These are counted per bucket; then just the buckets that
+    hold a wanted rank are ordered, for a median one or two out of thousands. Null values are skipped.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(value).cast("double").alias(value)).where(
-        F.col(value).isNotNull() & ~F.isnan(value))
+    rows = saved(df.select(*keys, F.col(value).cast("double").alias(value)).where(
+        F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__count")))
     borders = splitters(rows, keys, value, rows_per_bucket)
-    counts = bucketed(rows, keys, value, borders).groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__count"))
+    counts = bucketed(rows, keys, value, borders).groupBy(*keys, "__bucket").agg(F.sum("__count").alias("__count"))
     across = W.partitionBy(*keys).orderBy("__bucket")
     starts = counts.select(
         *keys, "__bucket", "__count",
@@ -188,7 +189,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, parts: int,
     chosen = (attach(rows, plan, keys)
               .withColumn("__bucket", position(value))
               .where(F.col("__borders").isNull() | F.array_contains("__wanted", F.col("__bucket"))))
-    distinct = chosen.groupBy(*keys, "__bucket", value).agg(F.count(F.lit(1)).alias("__count"))
+    distinct = chosen.select(*keys, "__bucket", value, "__count")
     heads = wanted.select(*keys, "__bucket", F.lit(0).alias("__row"), F.col("__start").alias("__count"), "__n")
     together = distinct.withColumn("__row", F.lit(1)).unionByName(heads, allowMissingColumns=True)
     inside = (W.partitionBy(*keys, "__bucket").orderBy("__row", value)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import features as FT
 from flowlens.operators import labels as LB
+from flowlens.operators import leafwise as LW
 from flowlens.operators import merge as MG
 from flowlens.operators import metrics as M
 from flowlens.operators import models as ML
@@ -378,6 +379,12 @@ def _(spark, d):
     return _decisions(ML.score(ML.fit(train, ML.boosted(20, 6, 0.3, maxBins=BINS), NUMERIC, TEXT), test))
 
 
+@query("ml_3_leafwise", DECIDED, "gap_flows")
+def _(spark, d):
+    train, test = _split_rows(spark, d)
+    return _decisions(LW.score(LW.fit(train, NUMERIC, rounds=10, rate=0.5), test))
+
+
 @query("ml_4_perceptron", DECIDED, "gap_flows")
 def _(spark, d):
     train, test = _split_rows(spark, d)
