@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from flowlens.session import saved
 
 FIT_ROWS = 200_000
+FIT_BYTES = 32 << 20
 
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -39,13 +40,15 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return joined.drop(*[f"__r_{key}" for key in keys])
 
 
-def fitted(df: DataFrame, max_rows: int = FIT_ROWS) -> DataFrame:
-    """Materialise a table of fitted values and let it be broadcast only if its counted size allows.
+def fitted(df: DataFrame, max_rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES) -> DataFrame:
+    """Materialise a table of fitted values and let it be broadcast only if its size, counted in rows and in bytes of its
+    files, allows.
 
-    Beyond ``max_rows`` the table takes part in ordinary (adaptive, skew-split) joins.
+    Beyond ``max_rows`` or ``max_bytes`` the table takes part in ordinary (adaptive, skew-split) joins.
     """
     table = saved(df)
-    return F.broadcast(table) if table.count() <= max_rows else table
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(table) if size <= max_bytes and table.count() <= max_rows else table
 
 
 def attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -59,3 +59,11 @@ def test_labels_scales_protocols_and_dates(spark):
     assert [r.p for r in big.collect()] == ["99999999999", "tcp"]
     days = spark.sql("select date'2024-01-01' as d, 1 as n")
     assert shift.common_columns(days, days) == (["n"], ["d"])
+
+
+def test_a_fitted_table_is_broadcast_by_rows_and_bytes(spark):
+    from flowlens.functions.relational import fitted
+    table = spark.range(1000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(fitted(table)) and not hinted(fitted(table, max_rows=999)) and not hinted(fitted(table, max_bytes=10_000))
+    assert fitted(table.limit(0)).count() == 0 and fitted(table, max_bytes=10_000).count() == 1000
