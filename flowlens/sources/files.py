@@ -57,7 +57,7 @@ def first_lines(spark: SparkSession, path: str | Sequence[str], pattern: str = "
             first = rows[(rows["start"] == 0) & (rows["value"].str.strip() != "")].drop_duplicates("file_path")
             first = first[~first["file_path"].isin(seen)]
             seen.update(first["file_path"])
-            yield pa.RecordBatch.from_pandas(first[["file_path", "value"]], preserve_index=False)
+            yield pa.RecordBatch.from_arrays([pa.array(first[c].tolist(), pa.string()) for c in ("file_path", "value")], ["file_path", "value"])
             if len(rows) and (rows["length"] >= alone).all() and (len(seen) or (rows["start"] > 0).any()):
                 return
 

@@ -68,6 +68,16 @@ def test_large_files_are_united_from_many_splits(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == [("x_1.csv", 20_000, 0, 19_999), ("x_2.csv", 20_000, -19_999, 0), ("x_3.csv", 20_000, -19_999, 0)]
 
 
+def test_files_of_many_batches(spark, tmp_path):
+    """Most batches of a long file hold no header line."""
+    folder = str(tmp_path / "long")
+    for name, header in (("x.csv", "a,b"), ("y.csv", "b,a")):
+        write(folder, name, header + "\n" + "".join(f"{i},{-i}\n" for i in range(45_000)))
+    got = S.union_csv(spark, folder).groupBy("file_name").agg(F.count("*").alias("n"), F.sum(F.col("a").cast("long")).alias("s")).collect()
+    total = 45_000 * 44_999 // 2
+    assert sorted(tuple(r) for r in got) == [("x.csv", 45_000, total), ("y.csv", 45_000, -total)]
+
+
 def test_odd_layouts(spark, tmp_path):
     folder = str(tmp_path / "odd")
     write(folder, "a.csv", "﻿x,y\n1,2\n")
