@@ -1,8 +1,11 @@
 """Numbers and tables read back out of logs, against plain readers of the same lines."""
 
+import duckdb
 import pytest
+from checking import compare
 
 from flowlens.operators import reports as RP
+from flowlens.plans.catalog import ORACLES, QUERIES
 
 
 def logs(spark, *texts):
@@ -68,3 +71,13 @@ def test_shift_tables(spark):
     got = sorted(tuple(r) for r in RP.parse_shift_table(logs(spark, *texts), k=100).collect())
     assert got == sorted(r for t in texts for r in plain_table(t or "")) and len(got) == 4
     assert [r.feature for r in RP.parse_shift_table(logs(spark, *texts), k=2).collect()] == ["Bwd Packet Length Std", "b"]
+
+
+@pytest.mark.parametrize("name", ["rp_1_log_intervals", "rp_1_log_decision_intervals"])
+def test_intervals_that_reach_below_zero_are_printed_and_read(spark, tmp_path, name):
+    """A balance under a cent's hundredfold: the lower end is negative, and once was printed with the sign inside."""
+    spark.createDataFrame([(1, 0.27), (2, -0.99), (3, 0.0), (4, 9999.99)], "s_suppkey long, s_acctbal double").coalesce(1).write.parquet(
+        f"{tmp_path}/supplier.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    assert compare(spark, connection, QUERIES[name], ORACLES[name], str(tmp_path)) is None
