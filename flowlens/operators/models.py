@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators import metrics as M
+from flowlens.operators.cells import Perceptron
 from flowlens.operators.stages import (PREFIX, FeatureColumns, MedianImputer, MedianImputerModel, ModeImputer,
                                        ModeImputerModel, PopulationScaler, PopulationScalerModel, own)
 from flowlens.operators.staged import best_prefix
@@ -36,9 +36,8 @@ def boosted(rounds: int = 100, depth: int = 6, rate: float = 0.05, subsample: fl
 
 
 def perceptron(inputs: int, classes: int = 2, hidden: Sequence[int] = (256, 128), iterations: int = 50,
-               seed: int = 7, **params) -> MultilayerPerceptronClassifier:
-    return MultilayerPerceptronClassifier(featuresCol="features", labelCol="y_true", layers=[inputs, *hidden, classes],
-                                          maxIter=iterations, seed=seed, **params)
+               seed: int = 7, **params) -> Perceptron:
+    return Perceptron(featuresCol="features", labelCol="y_true", layers=[inputs, *hidden, classes], maxIter=iterations, seed=seed, **params)
 
 
 def preparation(numeric: Sequence[str], categorical: Sequence[str] = (), scaled: bool = True,
