@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import metrics as M
 from flowlens.operators.cells import Perceptron
+from flowlens.operators.forest import Forest
 from flowlens.operators.stages import (PREFIX, FeatureColumns, MedianImputer, MedianImputerModel, ModeImputer,
                                        ModeImputerModel, PopulationScaler, PopulationScalerModel, own)
 from flowlens.operators.staged import best_prefix
@@ -24,9 +25,8 @@ def logistic(iterations: int = 200, weight: str | None = None, **params) -> Logi
     return model.setWeightCol(weight) if weight else model
 
 
-def forest(trees: int = 200, depth: int = 10, seed: int = 7, **params) -> RandomForestClassifier:
-    return RandomForestClassifier(featuresCol="features", labelCol="y_true", numTrees=trees, maxDepth=depth,
-                                  seed=seed, **params)
+def forest(trees: int = 200, depth: int = 10, seed: int = 7, **params) -> Forest:
+    return Forest(featuresCol="features", labelCol="y_true", numTrees=trees, maxDepth=depth, seed=seed, **params)
 
 
 def boosted(rounds: int = 100, depth: int = 6, rate: float = 0.05, subsample: float = 0.8, seed: int = 7,
