@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators import metrics as M
-from flowlens.operators.cells import Perceptron
+from flowlens.operators.cells import Logistic, Perceptron
 from flowlens.operators.forest import Forest
 from flowlens.operators.stages import (PREFIX, FeatureColumns, MedianImputer, MedianImputerModel, ModeImputer,
                                        ModeImputerModel, PopulationScaler, PopulationScalerModel, own)
@@ -20,8 +20,8 @@ from flowlens.operators.staged import best_prefix
 from flowlens.session import saved
 
 
-def logistic(iterations: int = 200, weight: str | None = None, **params) -> LogisticRegression:
-    model = LogisticRegression(featuresCol="features", labelCol="y_true", maxIter=iterations, **params)
+def logistic(iterations: int = 200, weight: str | None = None, **params) -> Logistic:
+    model = Logistic(featuresCol="features", labelCol="y_true", maxIter=iterations, **params)
     return model.setWeightCol(weight) if weight else model
 
 
