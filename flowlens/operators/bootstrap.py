@@ -27,6 +27,9 @@ from flowlens.session import saved
 BLOCK = 65_536
 # Cells of a score range, which is one row.
 CELLS_PER_BUCKET = 8_192
+# Leading bits of a draw that a guide to its count is kept by, and what the guide has where they leave more than two counts.
+GUIDE = 12
+MANY = 1 << 15
 # Half the width, in root means, of the range outside which a Poisson count does not fall in double precision.
 SPREAD = 12
 
@@ -76,6 +79,65 @@ def poisson_weights(coefs: np.ndarray, counts: np.ndarray, reps: int) -> np.ndar
     return weights
 
 
+def even_draws(coefs: np.ndarray, reps: int, step: int) -> Iterator[np.ndarray]:
+    """``draws`` at 2, 4, … 2 * reps: repetitions in rows, ``step`` of them at a time, cells in columns. At even points a cubic needs only
+    additions: each value is the one before plus a difference, which has differences of its own. The array is used again for the next."""
+    state, prime = draws(coefs, np.array([2, 4, 6, 8])).T.astype(np.int64), np.uint32(PRIME)
+    for k in (1, 2, 3):
+        state[k:] = np.diff(state[k - 1:], axis=0) % PRIME
+    value, *slopes = state.astype(np.uint32)
+    less, rows = np.empty_like(value), np.empty((min(step, reps), len(coefs)), np.uint32)
+    for low in range(0, reps, step):
+        out = rows[:reps - low]
+        for row in out:
+            row[:] = value
+            for a, b in zip((value, *slopes), slopes):
+                a += b
+                np.subtract(a, prime, out=less)  # beyond all numbers where a is below the prime
+                np.minimum(a, less, out=a)
+        yield out
+
+
+@lru_cache(maxsize=4096)
+def poisson_guide(mean: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """By the leading GUIDE bits of a draw: the count that the least such draw has, MANY if more than one count follows in them, and from
+    which draw on it is one more. None where there are more counts than a guide is good for."""
+    first, limits = poisson_limits(mean)
+    if len(limits) > 1 << (GUIDE - 3):
+        return None
+    starts = np.arange((1 << GUIDE) + 1, dtype=np.int64) << (31 - GUIDE)
+    below = np.searchsorted(limits, starts, side="right")
+    after = np.append(limits, np.uint32(PRIME))[below[:-1]]
+    inside = np.searchsorted(limits, starts[1:] - 1, side="right") - below[:-1]
+    return np.where(inside > 1, MANY, below[:-1]).astype(np.uint16), after
+
+
+def weight_rows(coefs: np.ndarray, counts: np.ndarray, reps: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """The repetitions (a slice of 0 to ``reps``) and their weights, as whole numbers: those of ``poisson_weights``, repetitions in rows."""
+    order = np.argsort(counts, kind="stable")
+    back = np.argsort(order, kind="stable")
+    sizes, low = np.unique(counts[order], return_index=True)
+    ends, at = np.append(low[1:], len(counts)), 0
+    moved = len(sizes) > 1
+    for drawn in even_draws(coefs[order], reps, max(1, BLOCK // max(1, len(counts)))):
+        weights = np.empty(drawn.shape, np.int64 if sizes[-1] > 1 << 20 else np.int32)
+        for size, a, b in zip(sizes.tolist(), low, ends):
+            own, (start, limits), guide = drawn[:, a:b], poisson_limits(size), poisson_guide(size)
+            if guide is None:
+                weights[:, a:b] = np.searchsorted(limits, own, side="right")
+            else:
+                leading = (own >> np.uint32(31 - GUIDE)).astype(np.intp)
+                reached = guide[0].take(leading)
+                reached += own >= guide[1].take(leading)
+                many = np.flatnonzero(reached >= MANY)
+                reached.flat[many] = np.searchsorted(limits, own.flat[many], side="right")
+                weights[:, a:b] = reached
+            if start:
+                weights[:, a:b] += start
+        yield slice(at, at + len(drawn)), weights.take(back, axis=1) if moved else weights
+        at += len(drawn)
+
+
 def score_text(score: Column) -> Column:
     """Text that tells any two scores apart, for hashing: whole and 2^-40 parts of 1e-9 units, which every engine works out
     alike, and beyond what they can hold (tiny, huge and infinite scores) a hash of the double's bits."""
@@ -169,25 +231,23 @@ def score_bootstrap(df: DataFrame, groups: Sequence[str] = (), reps: int = 1000,
     drawn = _with_coefficients(bucketed(cells, groups, "threshold", borders), [*groups, "threshold", "t", "hit"], seed)
     # The group travels as one text, so that a task never has to compare nulls.
     label_of = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"}) if groups else F.lit("")
-    step = max(1, BLOCK // reps)
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["threshold", "t", "hit"], ascending=[False, True, True])
         values, coefs, counts = frame["threshold"].to_numpy(), _coefs(frame), frame["c"].to_numpy()
         positive, hit = frame["t"].to_numpy() == 1, frame["hit"].to_numpy() == 1
-        sums = np.zeros((3, reps))
-        for low in range(0, len(frame), step):
-            here = slice(low, low + step)
-            weights = poisson_weights(coefs[here], counts[here], reps)
-            for total, chosen in zip(sums, (positive[here], ~positive[here], hit[here])):
-                total += weights[chosen].sum(0)
+        sums, chosen = np.zeros((3, reps)), np.stack([positive, ~positive, hit]).astype(float)
+        for here, weights in weight_rows(coefs, counts, reps):
+            sums[:, here] = chosen @ weights.T.astype(float)
         return pd.DataFrame([{
             "__group": frame["__group"].iloc[0], "__bucket": frame["__bucket"].iloc[0],
             "begins": np.r_[True, values[1:] != values[:-1]], "positive": positive, "c": counts, "coefs": coefs.ravel(),
             "pos": sums[0], "neg": sums[1], "hits": sums[2]}])
 
+    # A cell is a few bytes and a thousand repetitions of work: dealt by number, not merged into few tasks by their bytes.
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
     packed = saved(drawn.withColumn("__group", label_of).select("__group", "__bucket", "threshold", "t", "hit", "c", "a0", "a1", "a2", "a3")
-                   .groupBy("__group", "__bucket").applyInPandas(pack, PACKED))
+                   .repartition(tasks, "__group", "__bucket").groupBy("__group", "__bucket").applyInPandas(pack, PACKED))
     names = saved(rows.groupBy(*groups).agg(F.lit(1).alias("__one")).withColumn("__group", label_of)) if groups else None
 
     totals = packed.select("__group", "__bucket", F.posexplode(F.arrays_zip("pos", "neg", "hits")).alias("rep", "x")).select(
@@ -200,7 +260,8 @@ def score_bootstrap(df: DataFrame, groups: Sequence[str] = (), reps: int = 1000,
         F.coalesce(F.sum("neg").over(above), F.lit(0.0)).alias("neg_above"), F.sum("pos").over(whole).alias("n_pos"))
     starts = starts.groupBy("of", "at").agg(F.sort_array(F.collect_list(F.struct("rep", "pos_above", "neg_above", "n_pos"))).alias("s"))
     starts = starts.select("of", "at", *[F.col(f"s.{c}").alias(c) for c in ("pos_above", "neg_above", "n_pos")])
-    met = packed.drop("pos", "neg", "hits").join(starts, (F.col("__group") == F.col("of")) & (F.col("__bucket") == F.col("at")))
+    met = packed.drop("pos", "neg", "hits").repartition(tasks, "__group", "__bucket").join(
+        starts.repartition(tasks, "of", "at"), (F.col("__group") == F.col("of")) & (F.col("__bucket") == F.col("at")))
 
     def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -227,32 +288,29 @@ def curve_part(begins: np.ndarray, positive: np.ndarray, counts: np.ndarray, coe
                fp: np.ndarray, n_pos: np.ndarray, reps: int, need: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
     """What one score range adds to the sum under the precision curve, and the false positives at its first score that
     reaches ``need`` (infinite without), per repetition. tp and fp: what lies above the range."""
-    coefs = coefs.reshape(-1, 4)
-    gained, reached, wanted = np.zeros(reps), np.full(reps, np.inf), np.where(n_pos > 0, need * n_pos, np.inf)
+    gained, reached = np.zeros(reps), np.full(reps, np.inf)
     first = np.flatnonzero(begins)
-    last = np.r_[first[1:], len(begins)]
-    step, at = max(1, BLOCK // reps), 0
-    while at < len(first):
-        stop = max(at + 1, int(np.searchsorted(last, first[at] + step, side="right")))
-        here = slice(first[at], last[stop - 1])
-        weights, is_pos = poisson_weights(coefs[here], counts[here], reps), positive[here]
-        offsets = first[at:stop] - first[at]
-        pos = weights * is_pos[:, None]
-        if len(offsets) < len(weights):
-            pos, weights = np.add.reduceat(pos, offsets, axis=0), np.add.reduceat(weights, offsets, axis=0)
-        cum_pos = np.cumsum(pos, axis=0)
-        cum_pos += tp
-        seen = np.cumsum(weights, axis=0)
-        seen += tp + fp
-        held = np.flatnonzero(pos.any(1))  # scores at which nothing positive is drawn add nothing
-        gained += (pos[held] * cum_pos[held] / np.maximum(seen[held], 1.0)).sum(0)
-        tp, fp = cum_pos[-1], seen[-1] - cum_pos[-1]
-        open_ = np.flatnonzero(np.isinf(reached) & (tp >= wanted * (1 - 1e-12)))
-        if len(open_):
-            share = cum_pos[:, open_] / np.where(n_pos[open_] > 0, n_pos[open_], 1.0)
-            ok = (weights[:, open_] > 0) & (cum_pos[:, open_] > 0) & (share >= need)
-            reached[open_] = np.where(ok, (seen - cum_pos)[:, open_], np.inf).min(0)
-        at = stop
+    scores = np.flatnonzero(np.logical_or.reduceat(positive, first))  # those that have positive rows
+    for here, weights in weight_rows(coefs.reshape(-1, 4), counts, reps):
+        if len(first) < len(begins):
+            pos = np.add.reduceat(weights * positive, first, axis=1).take(scores, axis=1)
+            weights = np.add.reduceat(weights, first, axis=1)
+        else:
+            pos = weights.take(scores, axis=1)
+        cum_pos = np.cumsum(pos, axis=1, dtype=np.int64) + tp[here, None]
+        seen = np.cumsum(weights, axis=1, dtype=np.int64)
+        gained[here] = (pos * cum_pos / np.maximum(seen.take(scores, axis=1) + (tp + fp)[here, None], 1.0)).sum(1)
+        ends = cum_pos[:, -1] if len(scores) else tp[here]
+        for row in np.flatnonzero((n_pos[here] > 0) & (ends >= need * n_pos[here] * (1 - 1e-12))):
+            rep = here.start + row
+            if tp[rep] > 0 and tp[rep] / n_pos[rep] >= need:
+                continue  # a higher score has reached it, with no more false positives
+            all_pos = np.zeros(len(first))
+            all_pos[scores] = pos[row]
+            all_pos = np.cumsum(all_pos) + tp[rep]
+            ok = (weights[row] > 0) & (all_pos > 0) & (all_pos / n_pos[rep] >= need)
+            if ok.any():
+                reached[rep] = (seen[row] + tp[rep] + fp[rep] - all_pos)[ok].min()
     return gained, reached
 
 
