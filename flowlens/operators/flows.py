@@ -109,13 +109,13 @@ def parse_conversations(reports: DataFrame, text: str = "value") -> DataFrame:
 
     A report is one row; its sections and lines are split in place, whole.
     """
-    sections = reports.select(F.explode(F.split(F.col(text), r"(?=(?:TCP|UDP) Conversations)")).alias("section"))
-    header = F.trim(F.regexp_extract("section", r"^([^\r\n]*)", 1))
+    sections = reports.select(F.explode(F.split(F.col(text), r"(?=[TU])(?=(?:TCP|UDP) Conversations)")).alias("section"))
+    header = F.trim(F.substring_index(F.substring_index("section", "\n", 1), "\r", 1))
     names = F.create_map(*[F.lit(x) for pair in CONVERSATION_HEADERS.items() for x in pair])
-    words = (sections.select(F.try_element_at(names, header).alias("proto"),
-                             F.explode(F.split("section", r"\r?\n")).alias("line"))
-             .where(F.col("proto").isNotNull() & F.contains("line", F.lit(ARROW)))
-             .select("proto", F.split(F.trim("line"), r"\s+").alias("w"))
+    typed = sections.select(F.try_element_at(names, header).alias("proto"), "section").where(F.col("proto").isNotNull())
+    lines = F.filter(F.split("section", "\n"), lambda line: F.contains(line, F.lit(ARROW)))
+    # Words come out of the explode itself, so that each condition below reads them and none splits the line anew.
+    words = (typed.select("proto", F.explode(F.transform(lines, lambda line: F.split(F.trim(line), r"\s+"))).alias("w"))
              .where((F.size("w") >= 3 + len(CONVERSATION_NUMBERS)) & (F.try_element_at("w", F.lit(2)) == ARROW)))
 
     def end(i: int) -> Column:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.operators import bootstrap as B
+from flowlens.operators import flows as FL
 
 
 @pytest.mark.parametrize("mean,cells,reps", [(1, 300, 70), (9, 200, 70), (900, 40, 2100), (2_000_000, 3, 33)])
@@ -30,3 +31,21 @@ def test_cells_are_dealt_to_tasks_by_number(spark, monkeypatch):
     rows = spark.range(3000).select((F.col("id") % 2).alias("y_true"), (F.col("id") / 3000).alias("y_score"), F.lit(1).alias("y_pred"))
     assert B.score_bootstrap(rows, reps=20, rows_per_bucket=8).count() == 20
     assert tasks[0] >= 4 * spark.sparkContext.defaultParallelism
+
+
+ODD_REPORTS = [
+    "TCP Conversations\r\nFilter:<No Filter>\r\na:1   <->  b:2  1 10  2 20  0.5\r\n  fe80::1:7 <-> fe80::2:8 3 30 4 40 1.5  \r\n===\nUDP Conversations  \n"
+    "c:3 <-> d:4 5 50 6 60 2.5\nIPv4 Conversations\nstill:5 <-> udp:6 1 1 1 1 1",
+    "e:1 <-> f:2 1 1 1 1 1\n UDP Conversations of some\ng:1 <-> h:2 1 1 1 1 1", "TDP Conversations\ni:1 <-> j:2 1 1 1 1 1",
+    "UDP Conversations\rk:1 <-> l:2 1 1 1 1 1\nm:1 <-> n:2 x 1 1 1 1\no:p <-> q:2 1 1 1 1 1\nr:1 s:2 <-> 1 1 1 1 1\nt:1 <-> u:2 1 1 1 1",
+    "TCP Conversations\nv:1\t<->\tw:2\t1\t2\t3\t4\t9\textra <->", "", None]
+
+
+def test_reports_are_parsed_with_one_split_of_a_line(spark):
+    flows = FL.parse_conversations(spark.createDataFrame([(r,) for r in ODD_REPORTS], "value string"))
+    got = sorted((r.proto, r.saddr, r.sport, r.daddr, r.dport, r.spkts, r.sbytes, r.dpkts, r.dbytes, r.dur) for r in flows.collect())
+    assert got == [
+        ("tcp", "a", "1", "b", "2", 1, 10, 2, 20, 0.5), ("tcp", "fe80::1", "7", "fe80::2", "8", 3, 30, 4, 40, 1.5),
+        ("tcp", "v", "1", "w", "2", 1, 2, 3, 4, 9.0), ("udp", "c", "3", "d", "4", 5, 50, 6, 60, 2.5), ("udp", "still", "5", "udp", "6", 1, 1, 1, 1, 1.0)]
+    plan = flows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\s+") == 1
