@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import bootstrap as B
 from flowlens.operators import flows as FL
+from flowlens.operators import leafwise as LW
 
 
 @pytest.mark.parametrize("mean,cells,reps", [(1, 300, 70), (9, 200, 70), (900, 40, 2100), (2_000_000, 3, 33)])
@@ -49,3 +50,13 @@ def test_reports_are_parsed_with_one_split_of_a_line(spark):
         ("tcp", "v", "1", "w", "2", 1, 2, 3, 4, 9.0), ("udp", "c", "3", "d", "4", 5, 50, 6, 60, 2.5), ("udp", "still", "5", "udp", "6", 1, 1, 1, 1, 1.0)]
     plan = flows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"\s+") == 1
+
+
+def test_leafwise_passes_are_over_counts_of_equal_rows(spark, monkeypatch):
+    """The same trees from rows that are there five times as from their number, in passes over as many rows as there are different ones."""
+    seen, sums = [], LW.leaf_sums
+    monkeypatch.setattr(LW, "leaf_sums", lambda rows, *a: seen.append(rows.agg(F.count("*"), F.sum("n")).first()) or sums(rows, *a))
+    rows = spark.range(600).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+                                   ((F.col("id") * 13 % 11 + F.col("id") % 7) > 8).cast("int").alias("y_true"))
+    model = LW.fit(rows.crossJoin(spark.range(5).drop("id")), ["a", "b"], rounds=2, leaves=6, min_rows=20)
+    assert model.trees and all(some <= 70 and whole == 3000 for some, whole in seen)
