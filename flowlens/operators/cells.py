@@ -9,8 +9,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassificationModel,
-                                       MultilayerPerceptronClassifier)
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
+                                       MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from flowlens.session import saved
 
+#: As how many rows of a share of its weight a distinct row stands at most, where each round of boosting draws rows.
+PIECES = 16
+
 
 class Logistic(LogisticRegression):
     """Spark's logistic regression on distinct rows; weights of rows add up."""
@@ -33,6 +36,36 @@ class Logistic(LogisticRegression):
         return self._copyValues(model)
 
 
+class Boosted(GBTClassifier):
+    """Spark's boosted trees on distinct rows, weighted by their number or by the sum of their weights.
+
+    With a ``subsamplingRate`` below 1 a round draws what is left of equal rows in at most PIECES parts, each by itself. A leaf's least
+    number of rows is kept as a weight; with weights of rows it can't be, so such a fit is over all rows.
+    """
+
+    def _fit(self, dataset: DataFrame) -> GBTClassificationModel:
+        features, label, least = self.getFeaturesCol(), self.getLabelCol(), self.getMinInstancesPerNode()
+        weighted, total = self.isDefined(self.weightCol), dataset.count() if least > 1 else 0
+        if least > 1 and (weighted or 2 * least > total):
+            return super()._fit(dataset)
+        weight = F.col(self.getWeightCol()).cast("double") if weighted else F.lit(1.0)
+        aside = [self.getValidationIndicatorCol()] if self.isDefined(self.validationIndicatorCol) else []
+        rows = dataset.select(vector_to_array(features).alias("__x"), F.col(label).alias(label), *aside, weight.alias("__w"))
+        cells = rows.groupBy("__x", label, *aside).agg(F.sum("__w").alias("__w"), F.count(F.lit(1)).alias("__n"))
+        # What a round draws goes by the place of a row, so the places must be the same in each run.
+        few = saved(cells.sortWithinPartitions("__x", label, *aside)).select(array_to_vector("__x").alias(features), label, *aside, "__w", "__n")
+        if self.getSubsamplingRate() < 1:
+            parts = F.least("__n", F.lit(PIECES)).cast("int")
+            few = few.withColumn("__w", F.col("__w") / parts).withColumn("__n", F.explode(F.array_repeat(F.lit(0), parts)))
+        changed = {self.weightCol: "__w"}
+        if least > 1:  # a little less, as the share is multiplied by the sum of weights again
+            changed |= {self.minInstancesPerNode: 1, self.minWeightFractionPerNode: max(self.getMinWeightFractionPerNode(), (least - 0.5) / total)}
+        model = super(Boosted, self.copy(changed))._fit(few)
+        for param in changed:
+            model.clear(param)
+        return self._copyValues(model)
+
+
 class Perceptron(MultilayerPerceptronClassifier):
     """Spark's perceptron, its loss and slope summed by array products in the tasks, one pass for each step of L-BFGS on the driver.
 

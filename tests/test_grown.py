@@ -2,11 +2,15 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowlens.operators import bootstrap as B
 from flowlens.operators import flows as FL
 from flowlens.operators import leafwise as LW
+from flowlens.operators.cells import PIECES, Boosted
 
 
 @pytest.mark.parametrize("mean,cells,reps", [(1, 300, 70), (9, 200, 70), (900, 40, 2100), (2_000_000, 3, 33)])
@@ -60,3 +64,23 @@ def test_leafwise_passes_are_over_counts_of_equal_rows(spark, monkeypatch):
                                    ((F.col("id") * 13 % 11 + F.col("id") % 7) > 8).cast("int").alias("y_true"))
     model = LW.fit(rows.crossJoin(spark.range(5).drop("id")), ["a", "b"], rounds=2, leaves=6, min_rows=20)
     assert model.trees and all(some <= 70 and whole == 3000 for some, whole in seen)
+
+
+def test_boosting_is_over_distinct_rows_with_weights(spark, monkeypatch):
+    """Rows that are there twenty times give the trees of Spark's own fit, from as many rows as there are different ones; drawn
+    in parts where a round draws; a leaf's least number counts rows."""
+    base = spark.range(200).select((F.col("id") % 8).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+                                   ((F.col("id") * 13 % 11 + F.col("id") % 8) > 8).cast("double").alias("y_true"))
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(base.crossJoin(spark.range(20).drop("id"))).cache()
+    kinds, fitted = base.distinct().count(), []
+    plain = GBTClassifier._fit
+    monkeypatch.setattr(GBTClassifier, "_fit", lambda self, df: fitted.append(df.count()) or plain(self, df))
+    options = {"featuresCol": "features", "labelCol": "y_true", "maxIter": 3, "maxDepth": 3, "seed": 7}
+    for more in ({}, {"minInstancesPerNode": 300}):
+        own, same = (kind(**options, **more).fit(rows) for kind in (Boosted, GBTClassifier))
+        assert fitted[-2:] == [kinds, 4000] and own.getMinInstancesPerNode() == same.getMinInstancesPerNode()
+        assert not own.isDefined(own.weightCol)
+        shown = [m.transform(rows).select("a", "b", F.round(vector_to_array("probability")[1], 9).alias("p")).distinct() for m in (own, same)]
+        assert sorted(shown[0].collect()) == sorted(shown[1].collect())
+    Boosted(**options, subsamplingRate=0.8).fit(rows)
+    assert fitted[-1] == kinds * PIECES
