@@ -39,9 +39,21 @@ class Memory:
     """The last values of a function on short strings: when full, those not asked for since it was last full go."""
 
     def __init__(self, function: Callable[[str], tuple[int, ...]], most: int):
-        self.function, self.most = function, most
+        self.function = function
         self.new: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
+        self.most = most
+
+    @property
+    def most(self) -> int:
+        return self._most
+
+    @most.setter
+    def most(self, most: int) -> None:
+        """A bound below what is remembered holds at once: as hits never reach ``miss``, it would else never be met."""
+        self._most = most
+        if max(len(self.new), len(self.old)) > most:
+            self.forget()
 
     def forget(self) -> None:
         self.new, self.old = {}, {}
