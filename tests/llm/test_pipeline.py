@@ -54,6 +54,30 @@ def test_stages_take_effect(spark):
                 before.selectExpr("sha2(coalesce(text, ''), 256) as d")).count() == 0
 
 
+def test_stages_hand_texts_to_python_in_small_batches(spark):
+    """Batches that a Python worker gets in the session of each stage, as the stage's result is worked out in it later."""
+    def sizes(frames):
+        for f in frames:
+            yield f.text.str.len().agg(["count", "sum"]).to_frame().T.rename(columns={"sum": "bytes", "count": "n"})
+
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat(id, repeat(' some words', 300)) as text").repartition(1)
+    docs = docs.selectExpr("*", "'en' as lang", "'a' as source", "cast(length(text) as long) as n_chars").cache()
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            for key in keys:
+                spark.conf.unset(key)
+            stage(spark, docs, SMALL)
+            got = docs.select("text").mapInPandas(sizes, "n long, bytes long").collect()
+            assert sum(r.n for r in got) == 3000 and max(r.bytes for r in got) < 3 << 20, name
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        corpus_pipeline.mix_sources(spark, docs, SMALL)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+
+
 def test_run_is_the_stages_in_turn(spark):
     assert corpus_pipeline.run(spark, SMALL).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
