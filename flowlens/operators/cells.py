@@ -16,7 +16,9 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.session import saved
+from flowlens.operators import rounds
+from flowlens.operators.forest import blocks_of, find_edges
+from flowlens.session import saved, scratch_path
 
 #: As how many rows of a share of its weight a distinct row stands at most, where each round of boosting draws rows.
 PIECES = 16
@@ -66,6 +68,39 @@ class Boosted(GBTClassifier):
         return self._copyValues(model)
 
 
+class BoostedInTask(Boosted):
+    """The same trees with all rounds in one task over counts of equal rows (``rounds``), where these are counted and few enough.
+
+    A round draws rows, not parts of cells. With weights of rows, rows held aside or features left to chance, and beyond ``rounds.ENTRIES``, it
+    is ``Boosted``.
+    """
+
+    def _fit(self, dataset: DataFrame) -> GBTClassificationModel:
+        features, label = self.getFeaturesCol(), F.col(self.getLabelCol()).cast("double")
+        if self.isDefined(self.weightCol) or self.isDefined(self.validationIndicatorCol) or self.getMinWeightFractionPerNode() \
+                or self.getFeatureSubsetStrategy() != "all":
+            return super()._fit(dataset)
+        cells = saved(dataset.select(vector_to_array(features).alias("x"), label.alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+        odd = F.col("y").isNull() | ~F.col("y").isin(0.0, 1.0) | F.exists("x", F.isnan)
+        width, wrong = cells.agg(F.max(F.size("x")), F.max(odd)).first()
+        if not width or wrong:
+            return super()._fit(dataset)
+        cells = cells.withColumn("y", F.col("y").cast("int"))
+        edges = find_edges(cells, width, self.getMaxBins())
+        blocks = blocks_of(cells, edges)
+        if blocks.agg(F.sum(F.octet_length("y")) / 4).first()[0] * width > rounds.ENTRIES:
+            return super()._fit(dataset)
+        nodes = rounds.grown(blocks, edges, self.getMaxIter(), self.getMaxDepth(), self.getStepSize(), self.getSubsamplingRate(),
+                             self.getMinInstancesPerNode(), self.getMinInfoGain(), self.getSeed())
+        spark = dataset.sparkSession
+        few = spark.createDataFrame([(Vectors.dense([0.0] * width), float(c)) for c in range(2)], [features, self.getLabelCol()])
+        roots = GBTClassifier._fit(self.copy({self.maxIter: 1, self.maxDepth: 0, self.subsamplingRate: 1.0, self.minInstancesPerNode: 1}), few)
+        path, again = (scratch_path(spark, name) for name in ("roots", "boosted"))
+        roots.write().save(path)
+        rounds.write_trees(nodes, self.getMaxIter(), self.getStepSize(), path, again)
+        return self._copyValues(GBTClassificationModel.load(again))
+
+
 class Perceptron(MultilayerPerceptronClassifier):
     """Spark's perceptron, its loss and slope summed by array products in the tasks, one pass for each step of L-BFGS on the driver.
 

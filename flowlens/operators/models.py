@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators import metrics as M
-from flowlens.operators.cells import Boosted, Logistic, Perceptron
+from flowlens.operators.cells import Boosted, BoostedInTask, Logistic, Perceptron
 from flowlens.operators.forest import Forest
 from flowlens.operators.stages import (PREFIX, FeatureColumns, MedianImputer, MedianImputerModel, ModeImputer,
                                        ModeImputerModel, PopulationScaler, PopulationScalerModel, own)
@@ -30,8 +30,8 @@ def forest(trees: int = 200, depth: int = 10, seed: int = 7, **params) -> Forest
 
 def boosted(rounds: int = 100, depth: int = 6, rate: float = 0.05, subsample: float = 0.8, seed: int = 7,
             **params) -> Boosted:
-    return Boosted(featuresCol="features", labelCol="y_true", maxIter=rounds, maxDepth=depth, stepSize=rate,
-                   subsamplingRate=subsample, seed=seed, **params)
+    return BoostedInTask(featuresCol="features", labelCol="y_true", maxIter=rounds, maxDepth=depth, stepSize=rate,
+                         subsamplingRate=subsample, seed=seed, **params)
 
 
 def perceptron(inputs: int, classes: int = 2, hidden: Sequence[int] = (256, 128), iterations: int = 50,
