@@ -5,14 +5,14 @@ a cell of n rows has a Poisson(n) weight: the trees are those of a bootstrap ove
 A pass sums the weights of the open nodes by feature, bin and label in the tasks; a group for each tree adds them up and picks the
 splits. Only these, one row for each node, come to the driver, and with them the trees, which are as large as the model.
 
-Cells are dealt into blocks by a hash and ordered in them, and a block's weights follow from the seed, the tree and the block: neither
-partitions nor the number of cores show in the result.
+Cells are dealt into blocks by a hash and ordered in them, and a cell's weight follows from the seed, the tree, the block and its place there:
+neither partitions nor the number of cores show in the result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -173,6 +173,64 @@ def grow(blocks: DataFrame, trees: list[Tree], edges: list[np.ndarray], classes:
     return trees
 
 
+def on_the_way(nodes: list[int], left: np.ndarray, right: np.ndarray) -> set[int]:
+    """``nodes`` and all above them."""
+    parent = np.full(len(left), -1)
+    inner = np.flatnonzero(left >= 0)
+    parent[left[inner]] = parent[right[inner]] = inner
+    out: set[int] = set()
+    for node in nodes:
+        while node >= 0 and node not in out:
+            out.add(int(node))
+            node = parent[node]
+    return out
+
+
+class Draws:
+    """How often each tree draws the cells of some blocks. What a single row is drawn follows from a hash of seed, tree, block and place, so
+    it is worked out for the rows that are asked for alone; cells of more rows are drawn for the whole tree."""
+
+    def __init__(self, chunk: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], n: np.ndarray, seed: int, rate: float):
+        self.n, self.seed, self.rate = n, seed % 2**63, rate
+        self.blocks = [(block, rate * of[of > 1]) for block, _, _, of in chunk]
+        self.many = np.flatnonzero(n > 1)
+        self.names = np.concatenate([hashed(np.uint64(block << 32) + np.arange(len(of), dtype=np.uint64)) for block, _, _, of in chunk])
+        # As shares of 2^32, below which a Poisson number of mean ``rate`` is at most 0, 1, 2, ...
+        terms = np.cumsum([math.exp(-rate) * rate**k / math.factorial(k) for k in range(40)])
+        self.below = [t for t in np.rint(terms * 2**32).astype(np.uint64) if t < 2**32]
+
+    def of_tree(self, tree: int) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """For cells, those that the tree draws and how often."""
+        if not self.rate:
+            return lambda rows: (rows, self.n[rows].astype(float))
+        salt = np.random.default_rng([self.seed, tree, 1]).integers(0, 2**63, dtype=np.uint64)
+        drawn = np.zeros(len(self.n) if len(self.many) else 0)
+        if len(self.many):
+            drawn[self.many] = np.concatenate([np.random.default_rng([self.seed, tree, block, 1]).poisson(mean) for block, mean in self.blocks])
+
+        def weight(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            u = hashed(self.names[rows] ^ salt) >> np.uint64(32)
+            w = np.zeros(len(rows))
+            for t in self.below:
+                more = u >= t
+                if not more.any():
+                    break
+                w += more
+            if len(drawn):
+                w = np.where(self.n[rows] > 1, drawn[rows], w)
+            kept = np.flatnonzero(w)
+            return rows[kept], w[kept]
+
+        return weight
+
+
+def hashed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def best_splits(blocks: DataFrame, trees: list[Tree], open_: dict[int, list[int]], looked: dict[int, np.ndarray], size: int, classes: int,
                 min_rows: int, min_gain: float, seed: int, rate: float) -> DataFrame:
     """``tree, node, feature, cut, gain, left, whole`` of every open node; no feature where it stays a leaf."""
@@ -185,33 +243,31 @@ def best_splits(blocks: DataFrame, trees: list[Tree], open_: dict[int, list[int]
 
     def count(chunk: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], width: int) -> Iterator[pd.DataFrame]:
         shapes, nodes, features = shared.value
-        x, y = np.concatenate([c[1] for c in chunk]), np.concatenate([c[2] for c in chunk])
+        columns = [np.concatenate([c[1][:, f] for c in chunk]) for f in range(width)]
+        y, n = np.concatenate([c[2] for c in chunk]), np.concatenate([c[3] for c in chunk])
+        slots = [c.astype(np.int32) * classes + y for c in columns]
+        draw = Draws(chunk, n, seed, rate)
         for i, (feature, cut, left, right) in shapes.items():
-            place = np.full(len(left), -1)
-            place[nodes[i]] = np.arange(len(nodes[i]))
-            drawn = [np.random.default_rng([seed % 2**63, i, block, 1]).poisson(rate * n) if rate else n for block, _, _, n in chunk]
-            weight = np.concatenate(drawn).astype(float)
-            rows, at = np.flatnonzero(weight), np.zeros(np.count_nonzero(weight), np.int64)
-            inner = np.flatnonzero(left[at] >= 0)
-            while len(inner):
-                node = at[inner]
-                at[inner] = np.where(x[rows[inner], feature[node]] <= cut[node], left[node], right[node])
-                inner = inner[left[at[inner]] >= 0]
-            own = place[at]
-            rows, own = rows[own >= 0], own[own >= 0]
-            if not len(rows):
-                continue
-            seen = features[i]
-            slots, k = x[rows[:, None], seen[own]].astype(np.int64), seen.shape[1]
-            keys = ((own[:, None] * k + np.arange(k)) * size + slots) * classes + y[rows][:, None]
-            total, weights = len(nodes[i]) * k * size * classes, np.repeat(weight[rows], k)
-            if total <= 4 * len(weights):
-                dense = np.bincount(keys.ravel(), weights, total)
-                kept = np.flatnonzero(dense)
-                sums = dense[kept]
-            else:
-                kept, sums = summed(keys.ravel(), weights)
-            yield pd.DataFrame({"tree": [i], "keys": [kept.astype(np.int64).tobytes()], "sums": [sums.tobytes()]})
+            above = on_the_way(nodes[i], left, right)
+            place = {node: j for j, node in enumerate(nodes[i])}
+            weight, keys, sums = draw.of_tree(i), [], []
+            # Cells go down together and are dropped where a branch has no open node.
+            stack = [(0, np.arange(len(n)))]
+            while stack:
+                node, rows = stack.pop()
+                if left[node] >= 0:
+                    goes = columns[feature[node]][rows] <= cut[node]
+                    stack += [(child, rows[side]) for child, side in ((left[node], goes), (right[node], ~goes)) if child in above]
+                    continue
+                rows, w = weight(rows)
+                own = place[node]
+                for j, f in enumerate(features[i][own]) if len(rows) else ():
+                    dense = np.bincount(slots[f][rows], w, size * classes)
+                    kept = np.flatnonzero(dense)
+                    keys.append(kept + (own * features[i].shape[1] + j) * size * classes)
+                    sums.append(dense[kept])
+            if keys:
+                yield pd.DataFrame({"tree": [i], "keys": [np.concatenate(keys).astype(np.int64).tobytes()], "sums": [np.concatenate(sums).tobytes()]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunk: list = []
